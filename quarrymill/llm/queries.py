@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import lines, packing, quality, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": quality.op3_quality_rules}
+    return {
+        "op1_token_ids": tokens.op1_token_ids,
+        "op3_quality_rules": quality.op3_quality_rules,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op10_line_dedup": lines.op10_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE}
+    return {"op3_quality_rules": quality.ORACLE, "op10_line_dedup": lines.ORACLE}
