@@ -1,20 +1,25 @@
-"""Token ids of whole texts by a public tokenizer, with a bounded cache of the parts of text that cannot influence each other."""
+"""Token ids of whole texts by a public tokenizer, with a bounded cache of the pieces of text that cannot influence each other."""
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
 import numpy as np
 
-#: Entries of the cache; it is emptied when full, so a worker's memory is bounded.
-CACHE = 400_000
-#: Longer parts are encoded each time.
-LONGEST = 64
-#: Characters for which the splits below are known to agree with the tokenizers' own: printable ASCII, ASCII white space and
-#: Latin-1 letters. A text with any other character is encoded as one piece by the library.
+#: Entries of the cache; it is emptied when it has more, so a worker's memory is bounded.
+CACHE = 500_000
+#: Texts that are split, and new pieces that are encoded, at a time.
+TEXTS, PIECES = 8, 5_000
+#: Texts with other characters are encoded as one piece by the library. For these (printable ASCII, ASCII white space,
+#: Latin-1 letters) the patterns below split as the tokenizers' own do.
 _PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
-_PIECES = re.compile(r"\s+(?!\S)| ?\S+|\s+")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PIECES = {
+    "words": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+"),
+    "bytes": re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"),
+}
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,42 +29,66 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """encode(texts): for each text its ids as little-endian unsigned 32-bit integers.
+    """encode(texts): for each text its ids as little-endian unsigned integers of `dtype`.
 
-    A lower-casing tokenizer with word ends ("words") never joins what white space divides; a byte-level one ("bytes") never
-    joins across the pieces of _PIECES. So each part is encoded once by the library and its ids are looked up afterwards.
+    A tokenizer never merges across the pieces that it splits a text into first. So each distinct piece is encoded once by
+    the library, many at a time in one text, and texts are put together from the pieces' ids. In such a text, pieces end
+    where a tokenizer of kind "words" (lower case, white space dropped) marks a word's end, and where one of kind "bytes" has
+    the line feed that was put between them.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, dtype: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.split = str.split if kind == "words" else _PIECES.findall
+        self.kind, self.dtype = kind, dtype
+        vocabulary = self.library.get_vocab()
+        assert max(vocabulary.values()) <= np.iinfo(dtype).max
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if (t.endswith("</w>") if kind == "words" else t == "Ċ")]] = True
         self.cache: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> np.ndarray:
+        (e,) = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(e.ids, self.dtype)
+
+    def _learn(self, pieces: list[str]) -> None:
+        if self.kind == "words":
+            ids = self._ids(" ".join(pieces))
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            start, end = np.append(0, stop[:-1]), stop
+        else:
+            ids = self._ids("\n".join(pieces) + "\n")
+            end = np.flatnonzero(self.ends[ids])
+            start = np.append(0, end[:-1] + 1)
+        if len(end) == len(pieces):
+            raw, size = ids.tobytes(), ids.itemsize
+            self.cache.update((x, raw[a:z]) for x, a, z in zip(pieces, (start * size).tolist(), (end * size).tolist(), strict=True))
+        else:
+            self.cache.update((x, self._ids(x).tobytes()) for x in pieces)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), TEXTS):
+            out += self._encode(texts[at : at + TEXTS])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache, out, parts, new = self.cache, [b""] * len(texts), {}, {}
-        odd = []
-        for i, t in enumerate(texts):
-            if _PLAIN.fullmatch(t):
-                parts[i] = p = self.split(t)
-                new.update(dict.fromkeys(x for x in p if x not in cache))
-            else:
-                odd.append(i)
-        fresh = list(new)
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            new.update(zip(some, self._whole(some), strict=True))
-        for i, p in parts.items():
-            out[i] = b"".join([cache[x] if x in cache else new[x] for x in p])
-        for i in odd:
-            out[i] = self._whole([texts[i]])[0]
-        cache.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-        return out
+        split = _PIECES[self.kind].findall
+        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+        parts = [split(t.lower() if self.kind == "words" else t) if ok else () for t, ok in zip(texts, plain, strict=True)]
+        new = [x for x in set().union(*parts).difference(self.cache) if not x.isspace() or self.cache.setdefault(x, self._ids(x).tobytes()) is None]
+        for at in range(0, len(new), PIECES):
+            self._learn(new[at : at + PIECES])
+        get = self.cache.__getitem__
+        return [b"".join(map(get, p)) if ok else self._ids(t).tobytes() for t, p, ok in zip(texts, parts, plain, strict=True)]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, kind: str, dtype: str = "<u4") -> Encoder:
+    """A worker's encoder, kept from task to task with what it has in its cache."""
+    return Encoder(path, kind, dtype)

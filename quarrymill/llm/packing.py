@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch, read_documents, staged, texts
-from .encoding import Encoder, tokenizer_path
+from .encoding import encoder, tokenizer_path
 
 CAPACITY = 1024
 DOCUMENTS = 1024
@@ -98,10 +98,10 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen, encoder = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), Encoder(path, "bytes")
+        part, seen, own = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path, "bytes")
         for b in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), own.encode(b.column("text").to_pylist()), strict=True):
                 ids += end
                 n, at, piece = len(ids) // 4, 0, 0
                 while at < n:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, new_folder, read_documents, staged, texts, width
-from .encoding import Encoder, tokenizer_path
+from .encoding import encoder, tokenizer_path
 
 MAGIC = b"QMTOKENS"
 #: Ids after which a shard is closed.
@@ -76,30 +76,29 @@ def write_file(folder: str, name: str, data: bytes) -> None:
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("crc", pa.int64())])
 
 
-def encoded(docs: DataFrame, path: str, kind: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian uint32, with the end id) and their crc32."""
-    end = np.array([end_id], "<u4").tobytes()
+def encoded(docs: DataFrame, path: str, kind: str, end_id: int, dtype: str = "<u4") -> DataFrame:
+    """doc_id, n_tokens, ids (of dtype, with the end id) and their crc32."""
+    end, size = np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, kind)
+        own = encoder(path, kind, dtype)
         for b in batches:
-            ids = [x + end for x in encoder.encode(b.column("text").to_pylist())]
-            yield batch(_ENCODED, doc_id=b.column("doc_id"), n_tokens=[len(x) // 4 for x in ids], ids=ids, crc=[zlib.crc32(x) for x in ids])
+            ids = [x + end for x in own.encode(b.column("text").to_pylist())]
+            yield batch(_ENCODED, doc_id=b.column("doc_id"), n_tokens=[len(x) // size for x in ids], ids=ids, crc=[zlib.crc32(x) for x in ids])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, crc long")
 
 
-def frequencies(ids: DataFrame) -> np.ndarray:
+def frequencies(ids: DataFrame, dtype: str = "<u4") -> np.ndarray:
     """Number of each id; as long as the vocabulary, whatever the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                n = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(n) > len(total):
-                    total = np.pad(total, (0, len(n) - len(total)))
-                total[: len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype))
+            if len(n) > len(total):
+                total = np.pad(total, (0, len(n) - len(total)))
+            total[: len(n)] += n
         yield pa.RecordBatch.from_pydict({"id": np.flatnonzero(total), "n": total[total > 0]})
 
     rows = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
@@ -111,9 +110,9 @@ def frequencies(ids: DataFrame) -> np.ndarray:
 _WRITTEN = pa.schema([("partition", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write_shards(ids: DataFrame, folder: str) -> np.ndarray:
+def write_shards(ids: DataFrame, folder: str, dtype: str = "<u4") -> np.ndarray:
     """Write ranked shards in ascending doc_id order. Returns the ids before each partition."""
-    number = frequencies(ids)
+    number, item = frequencies(ids, dtype), np.dtype(dtype).itemsize
     id_of = np.lexsort((np.arange(len(number)), -number)).astype("<u4")
     rank_of = np.empty(len(id_of), "<u4")
     rank_of[id_of] = np.arange(len(id_of))
@@ -130,9 +129,9 @@ def write_shards(ids: DataFrame, folder: str) -> np.ndarray:
             nonlocal shard, before, size, doc_ids, held
             if not doc_ids:
                 return
-            control, data = encode_ranks(rank_of[np.frombuffer(b"".join(held), "<u4")])
+            control, data = encode_ranks(rank_of[np.frombuffer(b"".join(held), dtype)])
             head = np.array([partition, shard, before, len(doc_ids), size, len(control), len(data), 1], "<i8").tobytes()
-            counts = np.array([len(x) // 4 for x in held], "<i8").tobytes()
+            counts = np.array([len(x) // item for x in held], "<i8").tobytes()
             write_file(folder, f"shard-{partition:06d}-{shard:06d}.qmt", MAGIC + head + np.array(doc_ids, "<i8").tobytes() + counts + control + data)
             shard, before, size, doc_ids, held = shard + 1, before + size, 0, [], []
 
@@ -140,7 +139,7 @@ def write_shards(ids: DataFrame, folder: str) -> np.ndarray:
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 doc_ids.append(NO_ID if d is None else d)
                 held.append(x)
-                size += len(x) // 4
+                size += len(x) // item
                 if size >= SHARD:
                     close()
         close()
@@ -179,8 +178,9 @@ def read_shards(spark: SparkSession, folder: str, bases: np.ndarray, id_of: np.n
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = staged(encoded(read_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), "words", 1), "token-ids")
+    dtype = "<u2"  # 49,408 ids
+    ids = staged(encoded(read_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), "words", 1, dtype), "token-ids")
     folder = new_folder(spark, "token-shards")
-    bases = write_shards(ids, folder)
+    bases = write_shards(ids, folder, dtype)
     ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").head()[0]
     return read_shards(spark, folder, bases, np.frombuffer(ranks, "<u4"))
