@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, packing, quality, tokens
+from . import fingerprints, lines, packing, quality, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": tokens.op1_token_ids,
         "op3_quality_rules": quality.op3_quality_rules,
+        "op5_suffix_dedup": substrings.op5_suffix_dedup,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_substring_dedup": fingerprints.op8_substring_dedup,
         "op10_line_dedup": lines.op10_line_dedup,
     }
 
