@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches hold at most this many documents, so that long texts cannot swell one batch.
 BATCH_ROWS = 1000
+CACHED_WORDS = 150_000
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -128,8 +129,8 @@ def word_list(text: str) -> list[str]:
 
 
 def words_hashed(words: list[str], cache: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of words; the cache is emptied when it holds a million words."""
-    if len(cache) > 1_000_000:
+    """64-bit hashes of words; the cache is emptied when it holds CACHED_WORDS words."""
+    if len(cache) > CACHED_WORDS:
         cache.clear()
     out = np.empty(len(words), np.uint64)
     get = cache.get

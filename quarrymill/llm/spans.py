@@ -30,7 +30,7 @@ from .common import mix, width
 
 NO_ID = np.iinfo(np.int64).max
 #: Runs (or windows) that a task holds before it settles repeats among them and sends the rest.
-FLUSH = 1_500_000
+FLUSH = 500_000
 #: Symbols hashed at once: small enough for the processor's caches, below 2**21 for the packed positions.
 BLOCK = 1 << 16
 _POS = np.uint64((1 << 21) - 1)
