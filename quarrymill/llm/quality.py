@@ -127,7 +127,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with failing lines removed from their texts and n_chars set anew."""
     holder = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    kept = quality(holder).where("quality.kept")
+    # a generator, so that the verdict is computed once and not again in a filter beneath
+    kept = quality(holder).select("row", F.explode(F.filter(F.array("quality"), lambda q: q["kept"])).alias("quality"))
     columns = [F.col("quality.text") if c == "text" else F.length("quality.text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
     return kept.select(*[x.alias(c) for x, c in zip(columns, docs.columns, strict=True)])
 
