@@ -9,8 +9,8 @@ Hot groups. Equal sets are first made one class, so a class costs one representa
 of a band is never listed: its members are held against one pivot, the member that meets most (copies meet their source more
 often than each other), found by sums and maxima that combine before the shuffle. A pivot's members are
 dealt over salted groups of SALT. Where that leaves a bucket in several components, its members are cut into chunks, each two
-chunks meet in a task of their own, and only pairs of different components whose signatures (at 4.5 standard deviations) and
-sizes allow a link are given, and confirmed like the first.
+chunks meet in a task of their own, and what links are missing between components is found there; no pair leaves the task
+unless it joins two components.
 
 Defined cases: a null text has no words; null doc_ids form no links and are their own component (null); rows that repeat a
 doc_id are judged by their own texts, and a doc_id on several texts is linked if any of them is; ties go to the smaller doc_id.
@@ -36,7 +36,7 @@ _B = mix(np.arange(101, PERMUTATIONS + 101, dtype=np.uint64) * np.uint64(0x9E377
 #: Members of a pivot that one salted group holds.
 SALT = 256
 #: Members of a bucket that are compared by signature with so many others in one task.
-CHUNK = 512
+CHUNK = 1024
 
 
 def lowered(text: str) -> list[str]:
@@ -104,24 +104,29 @@ def bands(reps: DataFrame, rows: int) -> DataFrame:
     return reps.select("doc", F.posexplode(F.array(*each)).alias("band", "key"))
 
 
-def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, common, either (sizes of intersection and union) of the full sets of each pair (a, b)."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-    demand = salted.select(F.col("b").alias("key"), F.struct("a", "salt", F.lit(1).alias("role")).alias("for"))
-    lead = many.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select("key", F.struct(F.col("key").alias("a"), "salt", F.lit(0).alias("role")).alias("for"))
-    wanted = demand.unionByName(lead).groupBy("key").agg(F.collect_list("for").alias("for"))
-    squeezed_ = pa.schema([("key", pa.int64()), ("packed", pa.binary())])
+def packed(docs: DataFrame) -> DataFrame:
+    """key (doc_id) and packed: texts, compressed while they are dealt. They are always dealt, whatever joins them: what is
+    wanted of them grows with the input."""
+    schema = pa.schema([("key", pa.int64()), ("packed", pa.binary())])
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([z.compress(x.encode("utf-8", "surrogatepass")) for x in b.column("text").to_pylist()], pa.binary())], schema=squeezed_)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([z.compress(x.encode("utf-8", "surrogatepass")) for x in b.column("text").to_pylist()], pa.binary())], schema=schema)
+
+    return docs.where("doc_id IS NOT NULL").mapInArrow(squeeze, "key long, packed binary")
+
 
-    packed = docs.where("doc_id IS NOT NULL").mapInArrow(squeeze, "key long, packed binary")
-    sent = packed.join(wanted, "key").select("key", "packed", F.explode("for").alias("for")).select("for.*", "key", "packed")
+def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, common, either (sizes of intersection and union) of the full sets of each pair (a, b)."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
+    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    demand = salted.select(F.col("b").alias("key"), F.struct("a", "salt", F.lit(1).alias("role")).alias("for"))
+    lead = many.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select("key", F.struct(F.col("key").alias("a"), "salt", F.lit(0).alias("role")).alias("for"))
+    wanted = demand.unionByName(lead).groupBy("key").agg(F.collect_list("for").alias("for"))
+    sent = packed(docs).join(wanted.hint("merge"), "key").select("key", "packed", F.explode("for").alias("for")).select("for.*", "key", "packed")
     out = pa.schema([(c, pa.int64()) for c in ("a", "b", "common", "either")])
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,46 +149,83 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(hold, "a long, b long, common long, either long")
 
 
-def unmet(meets: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents that share a bucket but no component, of which signatures don't say that they can't be linked.
+def unmet(docs: DataFrame, meets: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents that share a bucket but no component yet: as many as join all that are linked.
 
-    A bucket's members are cut into chunks of CHUNK; each two chunks meet in a task that gives only the pairs that pass. A
-    pair is looked at in the first band that it shares.
+    A bucket's members, with their texts, are cut into chunks of CHUNK; each two chunks meet in one task. There, pairs of unlike
+    components whose signatures (at 4.5 standard deviations) and sizes allow a link are compared on full sets, the likeliest
+    first; a pair that links found before have joined is passed over. A pair is looked at in the first band that it shares.
     """
     t, values = percent / 100, 2 * PERMUTATIONS
     least = t * values - 4.5 * (t * (1 - t) * values) ** 0.5
     rows = rows_of(t)
     own = meets.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     open_ = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / CHUNK).alias("chunks")).where("x < y")
-    members = own.join(open_.select("key", "chunks"), "key").join(reps, "doc")
+    members = own.join(open_.select("key", "chunks"), "key")
     chunk = F.pmod(F.xxhash64("doc"), F.col("chunks"))
-    tasks = members.select("key", "band", "doc", "component", "n", "sig", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
-    tasks = tasks.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "band", "doc", "component", "n", "sig", "chunk")
+    tasks = members.select("key", "band", "doc", "component", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    wanted = tasks.groupBy("doc").agg(F.collect_list(F.struct("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "band", "component", "chunk")).alias("for"))
+    wanted = wanted.join(reps.select("doc", "sig"), "doc")
+    sent = packed(docs).join(wanted.withColumnRenamed("doc", "key").hint("merge"), "key").select(F.col("key").alias("doc"), "sig", "packed", F.explode("for").alias("for")).select("for.*", "doc", "sig", "packed")
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
-        _, i, j, band = group[0][:4]
-        doc, component, n, chunk = (np.array([g[c] for g in group], np.int64) for c in (4, 5, 6, 8))
+    def links_of(group: list[tuple], cache: dict[str, int]) -> list[tuple[int, int]]:
+        i, j, band = group[0][1:4]
+        component, chunk, doc = (np.array([g[c] for g in group], np.int64) for c in (4, 5, 6))
+        if len(np.unique(component)) < 2:
+            return []
         sig = np.frombuffer(b"".join(g[7] for g in group), "<u4").reshape(len(group), values)
         keys = np.ascontiguousarray(sig[:, : values // rows * rows].reshape(len(group), -1, rows)[:, :band])
-        found = []
+        left, right, alike = [], [], []
         for x in range(len(group)):
             if i != j and chunk[x] != i:
                 continue
             y = np.arange(x + 1, len(group)) if i == j else np.flatnonzero(chunk == j)
             y = y[component[y] != component[x]]
-            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= least] if len(y) else y
+            same = (sig[y] == sig[x]).sum(axis=1)
+            y, same = y[same >= least], same[same >= least]
             if band and len(y):
-                y = y[~(keys[y] == keys[x]).all(axis=2).any(axis=1)]
-            found += [(min(int(doc[x]), d), max(int(doc[x]), d)) for d in doc[y].tolist()]
+                new = ~(keys[y] == keys[x]).all(axis=2).any(axis=1)
+                y, same = y[new], same[new]
+            left.append(np.full(len(y), x))
+            right.append(y)
+            alike.append(same)
+        left, right, alike = np.concatenate(left), np.concatenate(right), np.concatenate(alike)
+        sets: dict[int, np.ndarray] = {}
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(unsqueezed(group[k][8]).decode("utf-8", "surrogatepass"), cache)
+            return sets[k]
+
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        found = []
+        for k in np.argsort(-alike, kind="stable").tolist():
+            x, y = int(left[k]), int(right[k])
+            a, b = find(int(component[x])), find(int(component[y]))
+            if a == b:
+                continue
+            s, u = of(x), of(y)
+            if 100 * min(len(s), len(u)) < percent * max(len(s), len(u)):
+                continue
+            common = len(s) + len(u) - len(np.unique(np.concatenate([s, u])))
+            if 100 * common >= percent * (len(s) + len(u) - common):
+                root[max(a, b)] = min(a, b)
+                found.append((int(doc[x]), int(doc[y])))
         return found
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
+        now, group, cache = None, [], {}
 
         def give() -> pa.RecordBatch:
-            found = pairs_of(group) if group else []
+            found = links_of(group, cache) if group else []
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * 2)], schema=out)
 
         for b in batches:
@@ -194,8 +236,8 @@ def unmet(meets: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) ->
                 group.append(r)
         yield give()
 
-    n_parts = width(meets.sparkSession)
-    return tasks.repartition(n_parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "a long, b long").distinct()
+    dealt = sent.repartition(width(meets.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", "i", "j", "band", "component", "chunk", "doc", "sig", "packed").mapInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -204,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     sets = staged(signed(d), "signed")
     full = sets.where("n > 0 AND doc_id IS NOT NULL")
     classes = staged(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig")), "classes")
-    reps = classes.select("doc", "n", "sig")
+    reps = classes.select("doc", "sig")
     rows = bands(reps, rows_of(percent / 100))
     size = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     meets = staged(rows.join(size, "key"), "meets")
@@ -213,9 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     first = staged(meets.join(top, "key").where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     linked = F.expr(f"100 * common >= {percent} * either")
     held = staged(compared(d, first), "held").where(linked).select("a", "b")
-    more = staged(unmet(meets, components(held).withColumnRenamed("node", "doc"), reps, percent), "pairs")
-    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    also = staged(compared(d, more.join(seen, ["a", "b"], "left_anti")), "held").where(linked).select("a", "b")
+    also = staged(unmet(d, meets, components(held).withColumnRenamed("node", "doc"), reps, percent), "more")
     labels = components(held.unionByName(also)).withColumnRenamed("node", "doc")
     of = classes.select("h1", "h2", "n", "doc").join(labels, "doc", "left").select("h1", "h2", "n", F.coalesce("component", "doc").alias("component"))
     named = full.select("doc_id", "h1", "h2", "n").join(of, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
