@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.files import read_small, replace_small
 
 SCHEMAS = {
     "chunks": "doc string, chunk_id string, text string, source_path string, section_path string, page_no int, regions_json string, cite_hex string, embedding array<float>, sidx array<int>, swt array<float>, origin string, props map<string, string>",
@@ -114,16 +115,8 @@ class Corpus:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def manifest(self) -> dict[str, str]:
-        fs, p = self._fs()
-        if not fs.exists(p):
-            return {}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest.json").collect()))
+        return json.loads(read_small(self.spark, f"{self.path}/manifest.json") or "{}")
 
     def tables(self) -> dict[str, DataFrame]:
         """The tables that count now; empty ones before the first commit."""
@@ -137,17 +130,7 @@ class Corpus:
             kinds = self.spark.createDataFrame([], SCHEMAS[t]).schema
             d.select(*[F.col(f.name).cast(f.dataType) for f in kinds]).write.parquet(f"{self.path}/{version}")
             now[t] = version
-        fs, p = self._fs()
-        jvm = self.spark._jvm
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.path}/.manifest-{uuid.uuid4().hex[:12]}")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps(now), "utf-8"))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = overwrite
-        context.rename(new, p, options)
+        replace_small(self.spark, f"{self.path}/manifest.json", json.dumps(now))
 
     def commit(self, docs: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, project: str, most_confident: bool = False) -> dict[str, int]:
         """Put documents (doc) in the place of what they were. chunks: doc, index, ...; entities: doc, id, type, name,
