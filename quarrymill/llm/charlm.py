@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 ORDER = 5
 SYMBOL = 12
 #: Windows that a model keeps for each class; languages that a model knows.
-WINDOWS = 300_000
+WINDOWS = 100_000
 CLASSES = 200
 #: Distinct windows that a task holds before it sends them.
 HELD = 1_000_000
@@ -110,9 +110,10 @@ def frequent(counts: DataFrame, most: int = WINDOWS) -> tuple[dict[str, tuple[np
         least[c] = 1 << min(k, max(of))
     if not least:
         return {}, {}
-    keep = F.create_map(*[x for c, n in least.items() for x in (F.lit(c), F.lit(n))])
-    rows = counts.where(F.col("class").isin(list(least)) & (F.col("n") >= keep[F.col("class")])).toPandas()
-    out = {c: (g["key"].to_numpy().astype(np.uint64), g["n"].to_numpy()) for c, g in rows.sort_values("key").groupby("class")}
+    out = {}
+    for c, n in least.items():  # one class at a time: at most CLASSES, each of at most `most` windows
+        own = counts.where((F.col("class") == c) & (F.col("n") >= n)).select("key", "n").toPandas().sort_values("key")
+        out[c] = (own["key"].to_numpy().astype(np.uint64), own["n"].to_numpy())
     return out, {c: seen[c] for c in out}
 
 
