@@ -6,7 +6,7 @@ Viterbi finds the reading of greatest probability under a character model (order
 channel. Words with no such sign are read as they stand. Readings are remembered by a worker, READINGS at most.
 
 Score. For each word of the restored training texts (labels.toxic, rows whose crc32(doc_id) mod 3 is not 1), documents with it
-are counted for each label. The LEXICON words of greatest likelihood ratio whose log odds are at least STRONG in size are
+are counted for each label (LABELS at most). The LEXICON words of greatest likelihood ratio whose log odds are at least STRONG in size are
 kept, after PSEUDO documents of the prior's share; a text's log odds are the prior's plus those of its distinct words.
 
 Defined cases: null and empty texts get the prior; without any label every score is 0.5 or less; a null doc_id is not held out;
@@ -35,6 +35,8 @@ READINGS = 200_000
 LEXICON = 4096
 STRONG = 2.0
 FEWEST = 5
+#: Labels learned from: all, up to this many; beyond, those of least hash of doc_id. So they can be broadcast (16 bytes each).
+LABELS = 200_000
 #: Documents of either label, in the share that they have, that every word is taken to have had besides.
 PSEUDO = 4
 _MARKS = "".join(map(re.escape, LEET))
@@ -193,8 +195,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(reader(d))
     marked = labels.where("toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    marked = marked.where(part(F.col("doc_id"), 3) != 1)
-    prior, odds = lexicon(d.where("part <> 1").join(marked, "doc_id"), shared)
+    marked = marked.where(part(F.col("doc_id"), 3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(LABELS)
+    prior, odds = lexicon(d.where("part <> 1").join(F.broadcast(marked), "doc_id"), shared)
     scores = spark.sparkContext.broadcast((prior, odds))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
