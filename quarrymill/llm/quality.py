@@ -9,18 +9,23 @@ rows and ties are judged row by row, each alike; other columns, whatever their n
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_documents
 
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
+SOLID = "[^\\x20\\x09-\\x0D]"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 MAX_LOST = 0.5  # share of the characters in lines with a word
 NAVIGATION = r"(?i)^\W*(home|about( us)?|contact( us)?|log ?in|log ?out|sign ?(in|up)|menu|search|next( page)?|prev(ious)?( page)?|skip to (main )?content|back to top|read more|share( this)?|site ?map)\W*$"
-BOILERPLATE = r"(?i)(all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|we use cookies|enable javascript|lorem ipsum|subscribe to our newsletter|click here to|copyright \(c\)|©|licensed under|spdx-license-identifier)"
+BOILERPLATE = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "cookie settings", "we use cookies", "enable javascript"]
+BOILERPLATE += ["lorem ipsum", "subscribe to our newsletter", "click here to", "copyright (c)", "©", "licensed under", "spdx-license-identifier"]
 #: A line with this many symbols for each word, or this many bars, isn't prose.
 SYMBOLS_A_WORD = 0.3
 BARS = 3
@@ -38,14 +43,21 @@ def _removed(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that any of the rules for lines rejects. Lines without a word pass."""
+def _has_boilerplate(text: Column) -> Column:
+    low = F.lower(text)
+    return reduce(or_, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
+
+
+def line_fails(line: Column, boilerplate: Column | None = None) -> Column:
+    """True for a line that any of the rules for lines rejects. Lines without a word pass. Cheap tests that most lines decide stand
+    first. boilerplate: whether the line's text has any."""
     words = F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+"))
     symbols = F.length(line) - F.length(_removed(line, SYMBOLS))
     bars = F.length(line) - F.length(_removed(line, "|»•"))
-    punctuation = (words >= LONG_LINE) & (F.length(line) == F.length(_removed(line, ".,;:!?…。、")))
-    navigation = (bars >= BARS) & (5 * bars >= words) | line.rlike(NAVIGATION)
-    return (words > 0) & ((symbols > SYMBOLS_A_WORD * words) | navigation | punctuation | line.rlike(BOILERPLATE))
+    marked = line.rlike(f"[{SYMBOLS}»•]") & ((symbols > SYMBOLS_A_WORD * words) | (bars >= BARS) & (5 * bars >= words))
+    endless = (F.length(line) >= 2 * LONG_LINE - 1) & ~line.rlike("[.,;:!?…。、]") & (words >= LONG_LINE)
+    phrase = _has_boilerplate(line) if boilerplate is None else boilerplate & _has_boilerplate(line)
+    return (marked | endless | phrase | line.rlike(NAVIGATION)) & line.rlike(SOLID)
 
 
 def _covered(starts: Column) -> Column:
@@ -66,15 +78,15 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
     put = lambda d, **more: d.withColumn("quality", F.struct("quality.*", *[c.alias(k) for k, c in more.items()]))
     q = lambda k: F.col(f"quality.{k}")
     # inner columns live in one struct, so that no other column's name can clash
-    d = put(d, w=_words(q("t")), lines=F.split(q("t"), "\n"))
+    d = put(d, w=_words(q("t")), lines=F.split(q("t"), "\n"), boilerplate=_has_boilerplate(q("t")))
     d = put(
         d,
         h=F.when(
             F.size(q("w")) >= 3,
             F.transform(F.sequence(F.lit(0), F.size(q("w")) - 3), lambda i: F.xxhash64(F.get(q("w"), i), F.get(q("w"), i + 1), F.get(q("w"), i + 2))),
         ).otherwise(F.array().cast("array<long>")),
-        has=F.filter(q("lines"), lambda x: F.length(_removed(x, " \t\r\x0b\x0c")) > 0),
-        good=F.filter(q("lines"), lambda x: ~line_fails(x)),
+        has=F.filter(q("lines"), lambda x: x.rlike(SOLID)),
+        good=F.filter(q("lines"), lambda x: ~line_fails(x, q("boilerplate"))),
     )
     d = put(d, s=F.when(F.size(F.array_distinct(q("h"))) < F.size(q("h")), F.sort_array(q("h"))).otherwise(F.array().cast("array<long>")))
     d = put(d, twice=F.array_distinct(F.filter(q("s"), lambda x, i: (i > 0) & (x == F.get(q("s"), i - 1)))))
@@ -94,7 +106,8 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
             )
         ),
     )
-    words, letters = F.size(q("w")).cast("long"), F.length(_removed(q("t"), " \t\n\r\x0b\x0c")).cast("long")
+    words, letters = F.size(q("w")).cast("long"), F.length(F.array_join(q("w"), "")).cast("long")
+    symbols = F.when(q("t").rlike(f"[{SYMBOLS}]"), F.length(q("t")) - F.length(_removed(q("t"), SYMBOLS))).otherwise(F.lit(0))
     repeated = _covered(q("starts")).cast("long")
     size = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     d = put(d, n_words=words, n_repeat_words=repeated, all_chars=size(q("lines")), good_chars=size(q("good")), text=F.array_join(q("good"), "\n"))
@@ -105,7 +118,7 @@ def quality(docs: DataFrame, text: str = "text") -> DataFrame:
         F.struct(
             q("n_words").alias("n_words"),
             letters.alias("word_chars"),
-            (F.length(q("t")) - F.length(_removed(q("t"), SYMBOLS))).cast("long").alias("n_symbols"),
+            symbols.cast("long").alias("n_symbols"),
             (F.size(q("has")) - F.size(F.array_distinct(q("has")))).cast("long").alias("n_dup_lines"),
             q("n_repeat_words").alias("n_repeat_words"),
             failed.alias("base_failed"),
@@ -136,7 +149,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 _WS = "[\\x20\\x09-\\x0D]"
 _LINE_FAILS = f"""(nw > 0 AND (length(line) - length(translate(line, '{SYMBOLS}', '')) > {SYMBOLS_A_WORD} * nw
    OR (length(line) - length(translate(line, '|»•', '')) >= {BARS} AND 5 * (length(line) - length(translate(line, '|»•', ''))) >= nw)
-   OR regexp_matches(line, '{NAVIGATION}') OR regexp_matches(line, '{BOILERPLATE}')
+   OR regexp_matches(line, '{NAVIGATION}') OR {' OR '.join(f"contains(lower(line), '{x}')" for x in BOILERPLATE)}
    OR (nw >= {LONG_LINE} AND length(line) = length(translate(line, '.,;:!?…。、', '')))))"""
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
