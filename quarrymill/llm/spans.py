@@ -155,6 +155,21 @@ class Blocks:
         return doc, start, n, bucket, span
 
 
+def _groups(first: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each group of rows, given which rows are the first of one."""
+    start = np.flatnonzero(first)
+    return list(zip(start.tolist(), np.append(start[1:], len(first)).tolist(), strict=True)) if len(start) else []
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 # --- settling ---------------------------------------------------------------------------------------------------------
 
 
@@ -179,9 +194,8 @@ def interval_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray, p_of: int
         return []
     o = np.lexsort((start, doc))
     d, s, e = doc[o], start[o], end[o]
-    cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
     rows = []
-    for a, z in zip(cut.tolist(), np.append(cut[1:], len(d)).tolist(), strict=True):
+    for a, z in _groups(_changes(d)):
         ss, ee = s[a:z], np.maximum.accumulate(e[a:z])
         new = np.append(True, ss[1:] > ee[:-1])
         f = np.flatnonzero(new)
@@ -204,8 +218,7 @@ def _dealt(p: np.ndarray, batch: np.ndarray, columns: list[np.ndarray]) -> list[
     """Packed rows for each (p, batch); columns are bucket, span, doc, start, n, flag."""
     o = np.lexsort((columns[3], columns[2], batch, p))
     p, batch, columns = p[o], batch[o], [c[o] for c in columns]
-    cut = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (batch[1:] != batch[:-1]))) if len(p) else []
-    return [(int(p[a]), RUNS, None, int(batch[a]), pack_columns(*[c[a:z] for c in columns])) for a, z in zip(cut, np.append(cut[1:], len(p)), strict=True)]
+    return [(int(p[a]), RUNS, None, int(batch[a]), pack_columns(*[c[a:z] for c in columns])) for a, z in _groups(_changes(p, batch))]
 
 
 def runs_of(texts: DataFrame, hashed: Callable[[], Callable[[str], np.ndarray]], length: int, k: int, parts: int, within: bool, bounds: list[int] = ()) -> DataFrame:
@@ -290,8 +303,7 @@ def settle_runs(rows: DataFrame, length: int, within: bool, index: bool = False)
             asked = stay[np.isin(b, tied)]
             rows_, oo = [], np.lexsort((start[asked], doc[asked]))
             asked = asked[oo]
-            cut = np.flatnonzero(np.append(True, doc[asked][1:] != doc[asked][:-1])) if len(asked) else []
-            for a, z in zip(cut, np.append(cut[1:], len(asked)), strict=True):
+            for a, z in _groups(_changes(doc[asked])):
                 s = start[asked[a:z]]
                 rows_.append((p, REQUESTS, int(doc[asked[a]]), 0, np.stack([s, s + n[asked[a:z]]], axis=1).astype("<i8").tobytes()))
             yield from _emit_all(rows_)

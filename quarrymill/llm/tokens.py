@@ -154,6 +154,12 @@ def write_shards(ids: DataFrame, folder: str, dtype: str = "<u4") -> np.ndarray:
     return np.cumsum(each) - each
 
 
+def read_ranks(spark: SparkSession, folder: str) -> np.ndarray:
+    """The id of each rank; none where no document had an id."""
+    row = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").head()
+    return np.frombuffer(row[0] if row and row[0] else b"", "<u4")
+
+
 def read_shards(spark: SparkSession, folder: str, bases: np.ndarray, id_of: np.ndarray) -> DataFrame:
     """Per document of the shards: doc_id, start, n_tokens, ids_crc32."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -182,5 +188,4 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = staged(encoded(read_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), "words", 1, dtype), "token-ids")
     folder = new_folder(spark, "token-shards")
     bases = write_shards(ids, folder, dtype)
-    ranks = spark.read.format("binaryFile").load(f"{folder}/ranks.bin").select("content").head()[0]
-    return read_shards(spark, folder, bases, np.frombuffer(ranks, "<u4"))
+    return read_shards(spark, folder, bases, read_ranks(spark, folder))
