@@ -230,6 +230,8 @@ def sparse_of(text: Column) -> Column:
     """Indices and weights of a text's words: hashed into 250,002 places, with their counts."""
     words = F.filter(F.split(F.lower(X.collapse(text)), " "), lambda w: w != "")
     places = F.array_sort(F.transform(words, lambda w: F.pmod(F.crc32(w), F.lit(250_002)).cast("int")))
-    distinct = F.array_distinct(places)
-    weights = F.transform(distinct, lambda i: F.size(F.filter(places, lambda j: j == i)).cast("float"))
-    return F.struct(distinct.alias("indices"), weights.alias("weights"))
+    # of the sorted places, where each run of equals starts; a run's length is its weight
+    starts = lambda p: F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i) != F.get(p, i - 1)))
+    held = F.transform(F.array(F.struct(places.alias("p"))), lambda x: F.struct(x["p"].alias("p"), F.when(F.size(x["p"]) > 0, starts(x["p"])).otherwise(F.array().cast("array<int>")).alias("s")))
+    made = F.transform(held, lambda x: F.struct(F.transform(x["s"], lambda i: F.get(x["p"], i)).alias("indices"), F.transform(x["s"], lambda i, k: (F.coalesce(F.get(x["s"], k + 1), F.size(x["p"])) - i).cast("float")).alias("weights")))
+    return F.get(made, 0)

@@ -299,33 +299,34 @@ def community_digest(spark, sf):
 SELECT 'user:' || u AS id, arg_max(event_type, event_id) AS label, arg_max(value, event_id) FILTER (value IS NOT NULL) AS score FROM e GROUP BY u""")
 def entity_upsert(spark, sf):
     e = table(spark, sf, "events").select(F.concat(F.lit("user:"), (F.col("user_id") % 500).cast("string")).alias("id"), F.col("event_type").alias("label"), F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("value")).alias("score"), "event_id")
-    old = e.where(F.col("event_id") % 2 == 0)
+    old = e.where("label < 'm'")
     kept = corpus.upsert(spark.createDataFrame([], old.drop("event_id").schema), old, order="event_id")
-    # the second batch has all later versions of what it names, so last-by-order over both equals one upsert after the other
+    # the second batch names everything once more, so it decides; what it leaves null stays from the first
     return corpus.upsert(kept, e, order="event_id").select("id", "label", "score")
 
 
-_MENT = "me AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, 'part:' || l_partkey AS dst FROM lineitem), th AS (SELECT 'part:' || p_partkey AS id FROM part)"
+_MENT = "me AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, 'part:' || l_partkey AS dst, l_quantity FROM lineitem), th AS (SELECT 'part:' || p_partkey AS id FROM part)"
 
 
 def _corpus(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rel = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc"), F.lit("c").alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("mentions").alias("type"))
+    rel = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc"), F.lit("c").alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("mentions").alias("type"), "l_quantity")
     ents = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("part").alias("type"))
     return ents, rel
 
 
-@query(f"WITH {_MENT} SELECT id FROM th WHERE id NOT IN (SELECT dst FROM me WHERE CAST(doc AS BIGINT) % 40 = 0)")
+@query(f"WITH {_MENT} SELECT id FROM th WHERE id NOT IN (SELECT dst FROM me WHERE l_quantity >= 49)")
 def orphan_gc(spark, sf):
     ents, rel = _corpus(spark, sf)
-    return corpus.orphans(ents, rel.where(F.col("doc").cast("long") % 40 == 0))
+    return corpus.orphans(ents, rel.where("l_quantity >= 49"))
 
 
-@query(f"WITH {_WINDOWS} SELECT doc, CAST(count(*) AS BIGINT) AS chunks_removed FROM w WHERE CAST(doc AS BIGINT) % 5 = 0 GROUP BY doc")
+@query(f"WITH {_WINDOWS} SELECT doc, CAST(count(*) AS BIGINT) AS chunks_removed FROM w WHERE doc IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'de') GROUP BY doc")
 def replace_document(spark, sf):
     d = documents(spark, sf)
     rows = corpus.chunk_rows(chunking.window_chunks(d).withColumn("section_path", F.lit(X.ROOT)))
     ents, rels = corpus.structural_rows(rows, "corpus")
-    return corpus.remove_documents({"chunks": rows, "entities": ents, "relates": rels}, d.where(F.col("doc").cast("long") % 5 == 0).where(X.strip(F.coalesce("text", F.lit(""))) != ""))[1]
+    gone = readers.table_documents(table(spark, sf, "documents").where("lang = 'de'"), "doc_id").where(X.strip(F.coalesce("text", F.lit(""))) != "")
+    return corpus.remove_documents({"chunks": rows, "entities": ents, "relates": rels}, gone)[1]
 
 
 @query(f"""WITH {_WINDOWS}, o AS (SELECT doc, 'markdown_doc:' || doc AS src, 'markdown_chunk:' || substr(sha1(doc || '#' || idx), 1, 12) AS dst FROM w) SELECT doc, src, dst, 'chunked_into' AS type FROM o""")
@@ -392,6 +393,97 @@ def super_parents(spark, sf):
     return layout.super_parents(c).select("doc", "section_path", "text")
 
 
+# --- replies, labels and furniture --------------------------------------------------------------------------------------
+
+_REPLIES = """r AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'sorry' ELSE p_name END AS name, CASE p_partkey % 4 WHEN 0 THEN 'Part' WHEN 1 THEN 'brand' WHEN 2 THEN 'other' ELSE 'part' END AS type,
+  CASE WHEN p_partkey % 5 = 0 THEN 1.0 ELSE round(p_size / 50.0, 2) END AS confidence FROM part)"""
+
+
+def _replies(spark, sf) -> DataFrame:
+    """A model's replies about parts: fenced, with thoughts, as bare lists, with words for confidences, and some that are no JSON."""
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    kind = F.when(k % 4 == 0, "Part").when(k % 4 == 1, "brand").when(k % 4 == 2, "other").otherwise("part")
+    sure = F.when(k % 5 == 0, F.lit("high")).otherwise(F.round(F.col("p_size") / 50.0, 2).cast("string"))
+    item = F.to_json(F.array(F.struct(kind.alias("type"), F.col("p_name").alias("name"), sure.alias("confidence"))))
+    body = F.when(k % 2 == 0, item).otherwise(F.concat(F.lit('{"entities":'), item, F.lit("}")))
+    reply = F.when(k % 11 == 0, "no JSON at all").when(k % 3 == 0, F.concat(F.lit("<think>hm</think>```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return p.select(k.cast("string").alias("doc"), F.lit(0).alias("chunk"), reply.alias("reply"))
+
+
+@query(f"WITH {_REPLIES} SELECT CAST(p_partkey AS VARCHAR) AS doc, lower(type) AS type, name, confidence FROM r WHERE name <> 'sorry' AND lower(type) IN ('part', 'brand')")
+def reply_entities(spark, sf):
+    return extract.items_of(extract.parsed(_replies(spark, sf)), ["part", "brand"]).select("doc", "type", "name", "confidence")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) || '.' || l_linenumber || ' Title' AS t, 2 AS depth, CAST(l_quantity AS INTEGER) AS number FROM lineitem")
+def numbered_headings(spark, sf):
+    li = table(spark, sf, "lineitem")
+    t = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), F.lit(" Title"))
+    return li.select("l_orderkey", "l_linenumber", t.alias("t"), X.section_depth(t).alias("depth"), X.label_number(F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(".) "))).alias("number"))
+
+
+@query("SELECT p_partkey, p_brand || ' > ' || p_type AS path, CAST(len(list_filter([trim(p_brand), trim(p_type)], lambda x: x <> '')) AS INTEGER) AS parts FROM part")
+def path_segments(spark, sf):
+    path = F.concat_ws(" > ", "p_brand", "p_type")
+    return table(spark, sf, "part").select("p_partkey", path.alias("path"), F.size(X.segments(path)).alias("parts"))
+
+
+_DECK = "b AS (SELECT CAST(l_orderkey // 8 AS VARCHAR) AS doc, CAST(l_orderkey % 8 + 1 AS INTEGER) AS page, l_returnflag || l_linestatus AS text, l_linenumber % 2 = 0 AS margin FROM lineitem)"
+
+
+def _deck(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    y = F.when(F.col("l_linenumber") % 2 == 0, 2.0).otherwise(50.0)
+    return li.select(
+        F.floor(F.col("l_orderkey") / 8).cast("string").alias("doc"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("int").alias("pos"), F.lit("text").alias("label"), F.lit(0).alias("level"), F.concat("l_returnflag", "l_linestatus").alias("text"),
+        (F.col("l_orderkey") % 8 + 1).cast("int").alias("page"), F.array(F.lit(0.0), y, F.lit(9.0), y + 3.0).alias("bbox"), F.lit(100.0).alias("page_height"), F.lit("body").alias("layer"), F.lit(None).cast("int").alias("parent"),
+    )
+
+
+@query(f"""WITH {_DECK}, n AS (SELECT doc, count(DISTINCT page) AS slides FROM b GROUP BY doc), f AS (SELECT doc, text, count(DISTINCT page) AS on_ FROM b WHERE margin GROUP BY doc, text)
+SELECT b.doc, b.page, b.text, CAST(count(*) AS BIGINT) AS boxes FROM b JOIN f USING (doc, text) JOIN n USING (doc) WHERE margin AND on_ >= 3 AND on_ >= 0.5 * slides GROUP BY b.doc, b.page, b.text""")
+def deck_furniture(spark, sf):
+    return layout.deck_furniture(_deck(spark, sf)).groupBy("doc", "page", "text").agg(F.count("*").alias("boxes"))
+
+
+@query(f"""WITH {_DECK}, n AS (SELECT doc, count(DISTINCT page) AS pages FROM b GROUP BY doc), f AS (SELECT doc, text, count(DISTINCT page) AS on_ FROM b WHERE NOT margin GROUP BY doc, text)
+SELECT b.doc, b.text, CAST(count(*) AS BIGINT) AS dropped FROM b JOIN f USING (doc, text) JOIN n USING (doc) WHERE NOT margin AND on_ >= 5 AND on_ >= pages / 4 GROUP BY b.doc, b.text""")
+def running_headers(spark, sf):
+    """The boxes of the deck that aren't in the margin, as headings at the top."""
+    top = F.when(F.col("bbox")[1] > 10, F.array(F.lit(0.0), F.lit(95.0), F.lit(9.0), F.lit(97.0))).otherwise(F.col("bbox"))
+    d = _deck(spark, sf).withColumn("bbox", top).withColumn("label", F.lit("section_header"))
+    return layout.drop_running_headers(d).where("layer = 'furniture'").groupBy("doc", "text").agg(F.count("*").alias("dropped"))
+
+
+@query("""WITH t AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, l_linenumber AS row, l_partkey AS a, l_suppkey AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem)
+SELECT doc, '| part | supplier |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || a || ' | ' || b || ' |', chr(10) ORDER BY n) AS text FROM t GROUP BY doc""")
+def markdown_tables(spark, sf):
+    li = table(spark, sf, "lineitem")
+    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    body = li.select(F.col("l_orderkey").cast("string").alias("doc"), n.alias("row"), F.col("l_partkey").cast("string").alias("a"), F.col("l_suppkey").cast("string").alias("b"))
+    rows = body.unionByName(body.select("doc").distinct().select("doc", F.lit(0).alias("row"), F.lit("part").alias("a"), F.lit("supplier").alias("b")))
+    cells = rows.select("doc", F.lit(1).alias("table_id"), "row", F.posexplode(F.array("a", "b")).alias("col", "text"))
+    return layout.markdown_tables(cells).select("doc", "text")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(list_filter(string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' '), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(count(DISTINCT w) AS INTEGER) AS most_terms, CAST(count(*) AS BIGINT) AS weight FROM w GROUP BY doc_id""")
+def sparse_vectors(spark, sf):
+    """Places of words may coincide, so the number of places is at most that of the words; their weights add up to all of them."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    s = d.select("doc_id", extract.sparse_of(F.col("text")).alias("s"), F.size(F.array_distinct(F.filter(F.split(F.lower(X.collapse(F.col("text"))), " "), lambda w: w != ""))).alias("most_terms"))
+    return s.where(F.size("s.indices") <= F.col("most_terms")).select("doc_id", "most_terms", F.aggregate("s.weights", F.lit(0.0), lambda a, x: a + x).cast("long").alias("weight"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || c_custkey AS a, 'g' || c_nationkey || c_mktsegment AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node""")
+def connected_components(spark, sf):
+    c = table(spark, sf, "customer")
+    group = F.concat(F.lit("g"), F.col("c_nationkey").cast("string"), F.col("c_mktsegment"))
+    return graph.connected(c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"), group.alias("dst")).distinct())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
