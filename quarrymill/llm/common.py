@@ -1,21 +1,15 @@
-"""Shared plumbing of the training-data operators: shared folders, staged tables, byte-packed exchanges."""
+"""Shared plumbing of the training-data operators: shared folders, staged tables, hashes of words."""
 
 from __future__ import annotations
 
-import hashlib
-import io
 import re
 import uuid
-from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: The word separator set of every word-based operator: space and U+0009-U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
 #: Arrow batches hold at most this many documents, so that long texts cannot swell one batch.
 BATCH_ROWS = 1000
 CACHED_WORDS = 150_000
@@ -32,13 +26,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and executors may be lost."""
     path = new_folder(df.sparkSession, name)
-    w = df.write.option("compression", "zstd")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,31 +51,10 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(f, schema)
-
-
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
-# --- packing of numpy columns into one binary value -------------------------------------------------------------------
-
-
-def pack(**arrays: np.ndarray) -> bytes:
-    """Columns of equal length as one zstd-compressed value. Sorted integer columns should come as differences."""
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    raw = out.getvalue()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpack(blob: bytes) -> dict[str, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    with np.load(io.BytesIO(pa.decompress(memoryview(blob)[8:], decompressed_size=n, codec="zstd"))) as z:
-        return {k: z[k] for k in z.files}
-
-
 # --- hashing ----------------------------------------------------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -101,26 +71,6 @@ def table_of_hashes(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of h[i:i+k] for each i, from hashes h of single symbols, by doubling: O(n log k), no loop over rows."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    done, out, power, width_ = 0, None, h, 1
-    while True:
-        if k & width_:
-            if out is None:
-                out = power.copy()
-            else:
-                m = len(power) - done
-                out = mix(out[:m] * np.uint64(0x9E3779B97F4A7C15) + power[done:])
-            done += width_
-        if done == k:
-            return out[:n]
-        power = mix(power[: len(power) - width_] * np.uint64(0xD1342543DE82EF95) + power[width_:])
-        width_ *= 2
-
-
 def word_list(text: str) -> list[str]:
     """Words [^\\x20\\x09-\\x0D]+ of a text. str.split() also splits at other white space, so only ASCII texts use it."""
     if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
@@ -147,19 +97,3 @@ def words_hashed(words: list[str], cache: dict[str, int]) -> np.ndarray:
                 values[i] = v
     out[:] = values
     return out
-
-
-def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs covered by the half-open intervals."""
-    if not len(starts):
-        return starts, ends
-    o = np.argsort(starts, kind="stable")
-    s, e = starts[o], np.maximum.accumulate(ends[o])
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] > e[:-1]
-    first = np.flatnonzero(new)
-    return s[first], e[np.append(first[1:], len(s)) - 1]
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -45,8 +45,8 @@ class Index:
         """Intervals and requests that a batch's fingerprints (stage 1 of spans.py) give rise to."""
         for run in self.runs:
             rows = rows.unionByName(run)
-        out = staged(settle_runs(rows, self.length, False, index=True), "fingerprints", ["kind"])
-        self.runs.append(out.where(F.col("kind") == INDEX).select(*[c.split()[0] for c in ROWS.split(", ")]))
+        out = staged(settle_runs(rows, self.length, False, index=True), "fingerprints")
+        self.runs.append(out.where(F.col("kind") == INDEX))
         if len(self.runs) > RUNS:
             self.compact()
         return out.where(F.col("kind") != INDEX)
@@ -83,7 +83,7 @@ def repeated_words(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     spark = d.sparkSession
     parts = 4 * width(spark)
     bounds = d.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    rows = staged(runs_of(d, hashed_words, length, gram, parts, False, sorted({int(x) for x in bounds})), "word-runs", ["batch"]).select(*[c.split()[0] for c in ROWS.split(", ")])
+    rows = staged(runs_of(d, hashed_words, length, gram, parts, False, sorted({int(x) for x in bounds})), "word-runs")
     index, found = Index(spark, length), []
     for i in range(len(set(bounds)) + 1):
         own = rows.where(F.col("batch") == i)
