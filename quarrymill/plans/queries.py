@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking, corpus, extract, graph, layout, quality
-from ..operators.store import staged
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
