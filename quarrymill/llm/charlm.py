@@ -91,6 +91,19 @@ def count_windows(texts: DataFrame) -> DataFrame:
     return texts.select("class", "text").mapInArrow(run, "class string, key long, n long").groupBy("class", "key").agg(F.sum("n").alias("n"))
 
 
+def lower(counts: DataFrame, k: int) -> DataFrame:
+    """class, key, n of the windows of k symbols that end those of k + 1 given (class, key): n counts their first symbols."""
+    return counts.select("class", F.col("key").bitwiseAND(F.lit(int(_MASK[k]))).alias("key")).groupBy("class", "key").agg(F.count("*").alias("n"))
+
+
+def collected(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per class, the sorted windows given and their counts."""
+    out = {}
+    for c, own in counts.select("class", "key", "n").toPandas().sort_values("key").groupby("class"):
+        out[c] = (own["key"].to_numpy().astype(np.uint64), own["n"].to_numpy())
+    return out
+
+
 def frequent(counts: DataFrame, most: int = WINDOWS) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[str, tuple[int, int]]]:
     """Per class, the windows seen at least 2**k times, k the least that leaves at most `most`; and the numbers of windows seen
     once and twice, before any is left out."""
@@ -120,11 +133,11 @@ def frequent(counts: DataFrame, most: int = WINDOWS) -> tuple[dict[str, tuple[np
 class Kneser:
     """One class: at each level, windows with discounted probabilities and contexts with the weight of the level below."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, seen: tuple[int, int]):
-        self.p: list = [None] * (ORDER + 1)
-        self.context: list = [None] * (ORDER + 1)
-        for k in range(ORDER, 0, -1):
-            one, two = seen if k == ORDER else (int((counts == 1).sum()), int((counts == 2).sum()))
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, seen: tuple[int, int], order: int = ORDER):
+        self.p: list = [None] * (order + 1)
+        self.context: list = [None] * (order + 1)
+        for k in range(order, 0, -1):
+            one, two = seen if k == order else (int((counts == 1).sum()), int((counts == 2).sum()))
             d = one / (one + 2 * two) if one and two else 0.75
             d = min(max(d, 0.1), 0.9)
             h, first, kinds = np.unique(keys >> _ONE, return_index=True, return_counts=True)

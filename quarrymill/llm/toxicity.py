@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .charlm import SYMBOL, Kneser, _fold, count_windows, frequent
+from .charlm import ORDER, SYMBOL, Kneser, _fold, collected, count_windows, lower
 from .common import read_documents, small_batches, staged
 from .langid import part
 
@@ -49,28 +49,33 @@ _EDGE = re.compile(r"^\W+|\W+$")
 
 
 class Reader:
-    """The character model as a table of three-letter windows, and the decoder."""
+    """The character model as sorted windows of one to three letters, and the decoder."""
 
     def __init__(self, model: Kneser | None):
-        self.table: dict[tuple[int, int], dict[int, float]] = {}
-        self.two: dict[int, dict[int, float]] = {}
-        self.one: dict[int, float] = {}
+        self.keys: list[np.ndarray] = []
+        self.logs: list[np.ndarray] = []
         self.floor = -SYMBOL * math.log(2)
         if model is not None:
-            low = (1 << SYMBOL) - 1
-            for k, put in ((1, lambda w, p: self.one.__setitem__(w, p)), (2, lambda w, p: self.two.setdefault(w >> SYMBOL, {}).__setitem__(w & low, p)), (3, lambda w, p: self.table.setdefault((w >> 2 * SYMBOL, w >> SYMBOL & low), {}).__setitem__(w & low, p))):
+            for k in (3, 2, 1):
                 keys = model.p[k][0]
-                for w, p in zip(keys.tolist(), np.log(model.probability(k, keys)).tolist(), strict=True):
-                    put(w, p)
+                self.keys.append(keys)
+                self.logs.append(np.log(model.probability(k, keys)).astype(np.float32))
+        self.near: dict[tuple[int, int, int], float] = {}
         self.known: dict[str, str] = {}
 
     def next(self, a: int, b: int, c: int) -> float:
-        p = self.table.get((a, b), {}).get(c)
+        p = self.near.get((a, b, c))
         if p is None:
-            p = self.two.get(b, {}).get(c)
-            if p is None:
-                p = self.one.get(c, self.floor) - 1.0
-            p -= 1.0
+            if len(self.near) >= READINGS:
+                self.near.clear()
+            key, p = (a << 2 * SYMBOL) | (b << SYMBOL) | c, self.floor - 2.0
+            for back, (keys, logs) in enumerate(zip(self.keys, self.logs, strict=True)):
+                w = np.uint64(key & (1 << SYMBOL * (3 - back)) - 1)
+                i = int(np.searchsorted(keys, w))
+                if i < len(keys) and keys[i] == w:
+                    p = float(logs[i]) - back
+                    break
+            self.near[a, b, c] = p
         return p
 
     def decode(self, places: list[list[tuple[str, float]]]) -> tuple[str, float]:
@@ -147,9 +152,13 @@ def words(text: str) -> set[str]:
 
 
 def reader(docs: DataFrame) -> Reader:
-    """A reader whose model counts all texts."""
-    counted, seen = frequent(staged(count_windows(docs.where("text IS NOT NULL").select(F.lit("all").alias("class"), "text")), "windows"))
-    return Reader(Kneser(*counted["all"], seen["all"]) if counted else None)
+    """A reader whose model has every window of three symbols of all texts. Only these, and the shorter ones that end them, come
+    to the driver; they are counted by what stands before them, from all windows of ORDER symbols, where those are."""
+    counts = staged(count_windows(docs.where("text IS NOT NULL").select(F.lit("all").alias("class"), "text")), "windows")
+    for k in range(ORDER - 1, 2, -1):
+        counts = lower(counts, k)
+    own = collected(counts).get("all")
+    return Reader(Kneser(*own, (int((own[1] == 1).sum()), int((own[1] == 2).sum())), order=3) if own else None)
 
 
 def lexicon(labelled: DataFrame, shared) -> tuple[float, dict[str, float]]:

@@ -362,3 +362,17 @@ def test_stages_keep_columns(spark, docs, odd):
     for name in ("keep_good", "keep_one", "drop_lines"):
         for d in (docs, odd):
             assert ALL[name](spark, d).columns == d.columns
+
+
+def test_reader_has_every_window(spark):
+    """More distinct windows than any fixed number that a model once kept: all of them are read."""
+    r = random.Random(3)
+    own = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(60_000)]
+    got = toxicity.reader(spark.createDataFrame([(i, " ".join(own[i::50])) for i in range(50)], "doc_id long, text string"))
+    w = np.concatenate([charlm.windows(charlm.symbols(" ".join(own[i::50]))) for i in range(50)])
+    assert len(np.unique(w)) > 100_000
+    k, n = np.unique(w, return_counts=True)
+    full = charlm.Kneser(k, n, (int((n == 1).sum()), int((n == 2).sum())))
+    three = full.p[3][0]
+    read = [got.next(x >> 24, x >> 12 & 4095, x & 4095) for x in three.tolist()]
+    assert np.allclose(read, np.log(full.probability(3, three)), atol=1e-4)
