@@ -1,9 +1,11 @@
 """Toxicity of restored text: a noisy channel undoes leetspeak, spacing and repetition, then a lexicon scores the words.
 
 Channel. A word may have had letters replaced by look-alikes (LEET), a letter repeated three times or more, or its letters set
-apart by single spaces or marks. A word that may is a lattice: for each place the letters that it may have been, each at a cost;
-Viterbi finds the reading of greatest probability under a character model (order 3, from charlm.py, of all texts) times the
-channel. Words with no such sign are read as they stand. Readings are remembered by a worker, READINGS at most.
+apart by single spaces or marks. Every word with a letter and a look-alike, or with a letter three times running, is a lattice:
+for each place the letters that it may have been, each at a cost; Viterbi finds the reading of greatest probability under a
+character model (order 3, from charlm.py, of all texts) times the channel, in time linear in the word, whatever its length.
+At a word's edges, marks that are also punctuation (EDGES) may be that, at a cost. Other words are read as they stand.
+Readings are remembered by a worker, READINGS at most, each of at most LONGEST characters.
 
 Score. For each word of the restored training texts (labels.toxic, rows whose crc32(doc_id) mod 3 is not 1), documents with it
 are counted for each label (LABELS at most). The LEXICON words of greatest likelihood ratio whose log odds are at least STRONG in size are
@@ -30,8 +32,9 @@ from .langid import part
 
 #: Look-alikes and what they may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "*": "aeiou", "#": "h"}
-SWAP, SAME, DROP, LOSE, JOIN = 2.0, 0.05, 0.5, 7.0, 3.0  # costs in nats
-READINGS = 200_000
+SWAP, SAME, DROP, LOSE, JOIN, EDGE = 2.0, 0.05, 0.5, 7.0, 3.0, 1.0  # costs in nats
+EDGES = "!(*#|+"
+READINGS, LONGEST = 200_000, 200
 LEXICON = 4096
 STRONG = 2.0
 FEWEST = 5
@@ -40,12 +43,14 @@ LABELS = 200_000
 #: Documents of either label, in the share that they have, that every word is taken to have had besides.
 PSEUDO = 4
 _MARKS = "".join(map(re.escape, LEET))
-#: A word with a look-alike beside a letter, or a letter three times.
-_ODD = re.compile(rf"[^\W\d_][{_MARKS}]{{1,2}}[^\W\d_]|(?<!\S)[{_MARKS}][^\W\d_]{{2}}|([^\W\d_])\1\1", re.IGNORECASE)
+_MARK = re.compile(rf"[{_MARKS}]")
+_LETTER = re.compile(r"[^\W\d_]")
+_RUN = re.compile(r"([^\W\d_])\1\1")
 #: Three single letters or more, each two of them a single space or mark apart.
 _APART = re.compile(rf"(?<![\w{_MARKS}])(?:[^\W_]|[@$!])(?:[ .\-_*·][^\W_]|[ .\-_*·][@$!]){{2,}}(?![\w{_MARKS}])")
 _WORD = re.compile(r"[^\W\d_]+")
-_EDGE = re.compile(r"^\W+|\W+$")
+#: What stands at a word's edges and is no look-alike.
+_EDGE = re.compile(rf"^[^\w{_MARKS}]+|[^\w{_MARKS}]+$")
 
 
 class Reader:
@@ -81,24 +86,31 @@ class Reader:
     def decode(self, places: list[list[tuple[str, float]]]) -> tuple[str, float]:
         """Best reading of a lattice and its cost for each letter; "" at a place drops it."""
         fold = _fold()
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # cost, and letters linked backwards
         for options in [*places, [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, read) in best.items():
                 for letter, price in options:
                     if letter == "":
-                        state, c = (a, b), cost + price
+                        state, c, link = (a, b), cost + price, read
                     else:
                         s = int(fold[ord(letter)])
-                        state, c = (b, s), cost + price - self.next(a, b, s)
+                        state, c, link = (b, s), cost + price - self.next(a, b, s), (read, letter)
                     if state not in new or c < new[state][0]:
-                        new[state] = (c, read + letter)
+                        new[state] = (c, link)
             best = new
-        cost, read = min(best.values())
-        return read.strip(), cost / max(1, len(read))
+        cost, link = min(best.values(), key=lambda x: x[0])
+        letters = []
+        while link is not None:
+            link, letter = link
+            letters.append(letter)
+        return "".join(reversed(letters)).strip(), cost / max(1, len(letters))
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         places: list[list[tuple[str, float]]] = []
+        inner = word.strip(EDGES)
+        first = len(word) - len(word.lstrip(EDGES)) if inner else 0
+        last = first + len(inner) if inner else len(word)
         i = 0
         while i < len(word):
             c, j = word[i], i
@@ -107,7 +119,7 @@ class Reader:
             options = [(c, SAME)] if c.isalpha() else []
             options += [(x, SWAP) for x in LEET.get(c, "")]
             if not c.isalpha():
-                options.append(("", LOSE))
+                options.append(("", LOSE if first <= i < last else EDGE))
             places.append(options)
             if j - i == 2:
                 places.append(options)
@@ -116,13 +128,20 @@ class Reader:
             i = j
         return places
 
+    def remember(self, text: str, read: str) -> str:
+        if len(text) <= LONGEST:
+            if len(self.known) >= READINGS:
+                self.known.clear()
+            self.known[text] = read
+        return read
+
     def word(self, word: str) -> str:
+        """A word as it reads; it stays as it is if it can't have been disguised."""
         got = self.known.get(word)
         if got is None:
-            if len(self.known) >= READINGS:
-                self.known.clear()
-            got = word if len(word) > 40 else self.decode(self.lattice(word))[0]
-            self.known[word] = got
+            core = _EDGE.sub("", word)
+            odd = _RUN.search(core) or _MARK.search(core) and _LETTER.search(core)
+            got = self.remember(word, self.decode(self.lattice(core))[0] if odd else word)
         return got
 
     def joined(self, m: re.Match) -> str:
@@ -130,21 +149,19 @@ class Reader:
         text = m.group()
         got = self.known.get(text)
         if got is None:
-            if len(self.known) >= READINGS:
-                self.known.clear()
             letters = text[::2]
             read, cost = self.decode(self.lattice(letters))
             single = -sum(self.next(0, 0, int(_fold()[ord(c)])) + self.next(0, int(_fold()[ord(c)]), 0) for c in letters)
-            got = read if cost * max(1, len(read)) < single + JOIN else text
-            self.known[text] = got
+            got = self.remember(text, read if cost * max(1, len(read)) < single + JOIN else text)
         return got
 
     def restore(self, text: str) -> str:
         text = text.lower()
         text = _APART.sub(self.joined, text)
-        if _ODD.search(text) is None:
+        run = _RUN.search(text)
+        if run is None and _MARK.search(text) is None:
             return text
-        return " ".join(self.word(core) if _ODD.search(core := _EDGE.sub("", w) if not w[:1] in LEET else w.rstrip(".,;:?!\"')")) else w for w in text.split())
+        return " ".join(w if run is None and w.isalpha() else self.word(w) for w in text.split())
 
 
 def words(text: str) -> set[str]:

@@ -376,3 +376,14 @@ def test_reader_has_every_window(spark):
     three = full.p[3][0]
     read = [got.next(x >> 24, x >> 12 & 4095, x & 4095) for x in three.tolist()]
     assert np.allclose(read, np.log(full.probability(3, three)), atol=1e-4)
+
+
+def test_every_disguise_is_read(spoken):
+    """Look-alikes at an end, several in a row, beside one letter; runs of any length; punctuation stays punctuation."""
+    r = toxicity.reader(spoken)
+    assert r.restore("l053r 1d107 m0r0n m" + "o" * 50 + "ron id1" + "o" * 400 + "t") == "loser idiot moron moron idiot"
+    assert r.restore("(moron) moron! **idiot** #loser") == "moron moron idiot loser"
+    for w in ("a$$", "5h17", "sh17", "h473", "d13", "f001"):
+        assert re.fullmatch("[a-z]{3,4}", r.restore(w)), w
+    long = "m0r0n" * 40_000
+    assert len(r.restore(long)) == len(long)
