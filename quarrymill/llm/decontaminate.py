@@ -9,13 +9,16 @@ by alignment within its band. No stretch within the budget is missed.
 Items are a stated query set: they are broadcast in blocks of at most BLOCK characters, whatever their number, and each
 block passes over all documents; a document's q-grams are looked up in a bitmap first and in a sorted array then.
 
-Defined cases: null and empty texts hold nothing; items of fewer than LEAST characters (or null) are too short to tell and
-are left out; of several stretches of one item in a document the one with the fewest edits, then the first, is given; rows
+Items of fewer than Q characters have no q-gram; they are searched exactly, by their whole text, and must be bounded: where
+an end of one is a letter or digit, so must the neighbour not be, unless one of the two is of a script without word spaces.
+
+Defined cases: null and empty texts hold nothing; items without a character (or null) stand nowhere; of several stretches of one item in a document the one with the fewest edits, then the first, is given; rows
 that repeat are searched each for itself; a null doc_id is given back as null.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -29,7 +32,8 @@ from .spans import grams
 
 Q = 10
 RATE = 0.08
-LEAST = 24
+#: Characters of the shortest item that is searched.
+LEAST = 1
 #: Characters of items in one broadcast.
 BLOCK = 4_000_000
 #: Characters of documents searched at once.
@@ -55,10 +59,52 @@ def hashed(x: np.ndarray) -> np.ndarray:
     return mix(x.astype(np.uint64) + np.uint64(1))
 
 
+@functools.cache
+def _joins() -> np.ndarray:
+    """Of each code point, if it runs on into a neighbour in one word: letters and digits of scripts with spaces between words."""
+    out = np.array([chr(i).isalnum() for i in range(0x110000)])
+    for a, z in ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1100, 0x1200), (0x1780, 0x1800), (0x2E80, 0xE000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x1B000, 0x1B170), (0x20000, 0x32000)):
+        out[a:z] = False
+    return out
+
+
+class Short:
+    """Items of fewer than q characters, by length: the sorted hashes of their whole texts."""
+
+    def __init__(self, ids: list[int], texts_: list[str]):
+        self.of: dict[int, tuple[np.ndarray, list[int], list[np.ndarray]]] = {}
+        for m in sorted({len(t) for t in texts_}):
+            own = [(grams(hashed(x), m)[0][0], i, x) for i, t in zip(ids, texts_, strict=True) if len(t) == m for x in (points(t),)]
+            own.sort(key=lambda r: r[0])
+            self.of[m] = (np.array([h for h, _, _ in own], np.uint64), [i for _, i, _ in own], [x for _, _, x in own])
+
+    def search(self, doc_id: int | None, text: str) -> list[tuple]:
+        """(doc_id, item_id, start, end, 0) of the first bounded place of each item."""
+        out, x = [], points(text)
+        joins = np.concatenate([[False], _joins()[x], [False]])
+        apart = ~(joins[1:] & joins[:-1])  # a word may begin or end before character i
+        for m, (keys, ids, own) in self.of.items():
+            (h,) = grams(hashed(x), m)
+            if not len(h):
+                continue
+            at = np.flatnonzero(apart[: len(h)] & apart[m : m + len(h)])
+            left = np.searchsorted(keys, h[at])
+            some = left < len(keys)
+            at, left = at[some], left[some]
+            same = keys[left] == h[at]
+            first, k = np.unique(left[same], return_index=True)
+            for p, j in zip(first.tolist(), at[same][k].tolist(), strict=True):
+                out.extend((doc_id, ids[q], j, j + m, 0) for q in range(p, int(np.searchsorted(keys, keys[p], side="right"))) if (own[q] == x[j : j + m]).all())
+        return out
+
+
 class Items:
-    """The q-grams of a block of items, ready for lookups."""
+    """The q-grams of a block of items, ready for lookups; items that are too short for one are in `short`."""
 
     def __init__(self, ids: list[int], texts_: list[str], rate: float = RATE, q: int = Q):
+        few = [(i, t) for i, t in zip(ids, texts_, strict=True) if len(t) < q]
+        self.short = Short([i for i, _ in few], [t for _, t in few])
+        ids, texts_ = ([x for x, t in zip(y, texts_, strict=True) if len(t) >= q] for y in (ids, texts_))
         self.ids, self.texts, self.q = ids, texts_, q
         self.sizes = np.array([len(t) for t in texts_], np.int64)
         self.edits = np.array([budget(len(t), rate, q) for t in texts_], np.int64)
@@ -160,6 +206,10 @@ def search(docs: list[tuple[int | None, str]], items: Items) -> list[tuple]:
         out.extend((held[d][0], items.ids[k], start, end, edits) for (d, k), (edits, start, end) in best.items())
 
     for doc_id, text in docs:
+        if items.short.of:
+            out.extend(items.short.search(doc_id, text))
+        if not items.ids:
+            continue
         (g,) = grams(hashed(points(text)), items.q)
         if len(g):
             held.append((doc_id, text, g))
@@ -177,7 +227,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q: int =
     """doc_id, item_id, start_from, end_at, edits: the items that stand in each document (places in the normalised text; the
     stretch ends at end_at and starts at start_from or later)."""
     spark = docs.sparkSession
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(f"text IS NOT NULL AND length(text) >= {LEAST}")
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     d, found = texts(docs), None
     for block in _blocks(own):
         shared = spark.sparkContext.broadcast(block)
@@ -185,7 +235,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, q: int =
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(*shared.value, rate, q)
             for b in batches:
-                if len(items.ids):
+                if len(items.ids) or items.short.of:
                     got = search([(i, normal(t)) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)], items)
                     columns = zip(*got, strict=True) if got else [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], schema=_FOUND)

@@ -387,3 +387,12 @@ def test_every_disguise_is_read(spoken):
         assert re.fullmatch("[a-z]{3,4}", r.restore(w)), w
     long = "m0r0n" * 40_000
     assert len(r.restore(long)) == len(long)
+
+
+def test_short_items_are_found(spark):
+    items = [(1, "what is 2 + 2?"), (2, "中国的首都是哪里?"), (3, "法国的首都在哪里呢?请回答"), (4, "cat"), (5, "cat"), (6, " "), (7, "who was first to go")]
+    texts_ = [(1, "so What  is 2 + 2? four"), (2, "问:中国的首都是哪里?北京"), (3, "他问法国的首都在哪里呢?请回答我"), (4, "a category"), (5, "The Cat sat, concat"), (6, "who was first to be"), (7, None), (8, "")]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.edits) for x in decontaminate.matches(make(spark, texts_), b).collect()}
+    assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (5, 4, 0), (5, 5, 0)}
+    assert {x.doc_id for x in decontaminate.drop_contaminated(make(spark, texts_), b).collect()} == {4, 6, 7, 8}
