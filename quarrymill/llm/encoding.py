@@ -35,6 +35,9 @@ class Encoder:
     the library, many at a time in one text, and texts are put together from the pieces' ids. In such a text, pieces end
     where a tokenizer of kind "words" (lower case, white space dropped) marks a word's end, and where one of kind "bytes" has
     the line feed that was put between them.
+
+    The library cuts a text at its added tokens (such as <|endoftext|>) before that; texts with the literal of one, in any
+    case of letters, are encoded as one piece by the library.
     """
 
     def __init__(self, path: str, kind: str, dtype: str = "<u4"):
@@ -42,8 +45,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.kind, self.dtype = kind, dtype
+        added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         vocabulary = self.library.get_vocab()
         assert max(vocabulary.values()) <= np.iinfo(dtype).max
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -79,7 +83,7 @@ class Encoder:
         if len(self.cache) > CACHE:
             self.cache.clear()
         split = _PIECES[self.kind].findall
-        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+        plain = [_PLAIN.fullmatch(t) is not None and self.added.search(t.lower()) is None for t in texts]
         parts = [split(t.lower() if self.kind == "words" else t) if ok else () for t, ok in zip(texts, plain, strict=True)]
         new = [x for x in set().union(*parts).difference(self.cache) if not x.isspace() or self.cache.setdefault(x, self._ids(x).tobytes()) is None]
         for at in range(0, len(new), PIECES):

@@ -396,3 +396,14 @@ def test_short_items_are_found(spark):
     got = {(x.doc_id, x.item_id, x.edits) for x in decontaminate.matches(make(spark, texts_), b).collect()}
     assert got == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (5, 4, 0), (5, 5, 0)}
     assert {x.doc_id for x in decontaminate.drop_contaminated(make(spark, texts_), b).collect()} == {4, 6, 7, 8}
+
+
+@pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "bytes")])
+def test_encoder_equals_the_library_on_added_tokens(name, kind):
+    from tokenizers import Tokenizer
+
+    own, plain = encoding.Encoder(encoding.tokenizer_path(name), kind), Tokenizer.from_file(encoding.tokenizer_path(name))
+    literals = [t.content for t in plain.get_added_tokens_decoder().values()]
+    cases = [x for t in literals for x in (t, f"x {t} y", f"a{t}b\n{t}{t}", f"日本 {t} é", f"X {t.upper()} y", t[:-1], f"{t[:-2]} {t[-2:]}", f"Plain words. {t}")] + ["Plain words.", "< | endoftext | >"]
+    for t, ids in zip(cases, own.encode(cases), strict=True):
+        assert ids == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
