@@ -2,7 +2,8 @@
 
 A text is lower-cased; letters are folded to SYMBOL bits, everything else is one space. A window of ORDER symbols is hashed to
 one integer, the symbols side by side, so that contexts and shorter windows are bit operations. Windows are counted over all
-texts given, summed per task before they are dealt; only the most frequent go into a model, whose size is a parameter.
+texts given, summed per task before they are dealt, and all of them go into a model. It is in blocks of bounded size, of
+windows whose third and fourth symbols are in one range; a block has all that the interpolation of its windows needs.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 ORDER = 5
 SYMBOL = 12
-#: Windows that a model keeps for each class; languages that a model knows.
-WINDOWS = 100_000
-CLASSES = 200
+#: Windows of ORDER symbols, times classes, in a block of a model; windows of texts that are looked up in one block after another.
+CELLS = 400_000
+GROUP = 4_000_000
 #: Distinct windows that a task holds before it sends them.
 HELD = 1_000_000
 _ONE = np.uint64(SYMBOL)
@@ -98,46 +99,63 @@ def lower(counts: DataFrame, k: int) -> DataFrame:
 
 def collected(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Per class, the sorted windows given and their counts."""
+    t = counts.select("class", "key", "n").toArrow()
+    classes = pa.chunked_array(t["class"].chunks, pa.string()).combine_chunks().dictionary_encode()
+    code, key, n = classes.indices.to_numpy(), t["key"].to_numpy(), t["n"].to_numpy()
     out = {}
-    for c, own in counts.select("class", "key", "n").toPandas().sort_values("key").groupby("class"):
-        out[c] = (own["key"].to_numpy().astype(np.uint64), own["n"].to_numpy())
+    for i, c in enumerate(classes.dictionary.to_pylist()):
+        own = np.flatnonzero(code == i)
+        own = own[np.argsort(key[own])]
+        out[c] = (key[own].astype(np.uint64), n[own])
     return out
 
 
-def frequent(counts: DataFrame, most: int = WINDOWS) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], dict[str, tuple[int, int]]]:
-    """Per class, the windows seen at least 2**k times, k the least that leaves at most `most`; and the numbers of windows seen
-    once and twice, before any is left out."""
-    level = F.floor(F.log2("n")).cast("int")
-    tally = counts.groupBy("class", level.alias("level")).agg(F.count("*").alias("w"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"), F.sum("n").alias("n")).collect()
-    total: dict[str, int] = {}
-    for r in tally:
-        total[r["class"]] = total.get(r["class"], 0) + r["n"]
-    least, seen = {}, {}
-    for c in sorted(total, key=lambda c: (-total[c], c))[:CLASSES]:
-        of = {r["level"]: r for r in tally if r["class"] == c}
-        seen[c] = (sum(r["one"] for r in of.values()), sum(r["two"] for r in of.values()))
-        k, kept = 63, 0
-        while k > 0 and kept + (of[k - 1]["w"] if k - 1 in of else 0) <= most:
-            k -= 1
-            kept += of[k]["w"] if k in of else 0
-        least[c] = 1 << min(k, max(of))
-    if not least:
-        return {}, {}
-    out = {}
-    for c, n in least.items():  # one class at a time: at most CLASSES, each of at most `most` windows
-        own = counts.where((F.col("class") == c) & (F.col("n") >= n)).select("key", "n").toPandas().sort_values("key")
-        out[c] = (own["key"].to_numpy().astype(np.uint64), own["n"].to_numpy())
-    return out, {c: seen[c] for c in out}
+def pairs_of(keys: np.ndarray) -> np.ndarray:
+    """Third and fourth symbols of windows of ORDER symbols, by which blocks are made."""
+    return (keys >> _ONE) & _MASK[2]
+
+
+def blocks(counts: DataFrame) -> tuple[list[str], np.ndarray, Iterator[Model]]:
+    """Classes, first pairs of the blocks, and the blocks' models, one at a time, of staged counts (class, key, n)."""
+    pair = F.shiftright("key", SYMBOL).bitwiseAND(F.lit(int(_MASK[2])))
+    tables = {ORDER: counts}
+    for k in range(ORDER - 1, 1, -1):
+        tables[k] = lower(tables[k + 1], k)
+    seen: dict[str, dict[int, tuple[int, int]]] = {}
+    for k in range(ORDER, 2, -1):
+        for r in tables[k].groupBy("class").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect():
+            seen.setdefault(r["class"], {})[k] = (r["one"], r["two"])
+    low = {c: Kneser(k, n, (int((n == 1).sum()), int((n == 2).sum())), order=2) for c, (k, n) in collected(tables[2]).items()}
+    classes, starts, size = sorted(low), [0], 0
+    for r in counts.groupBy(pair.alias("pair")).agg(F.count_distinct("key").alias("w")).sort("pair").collect() if classes else ():
+        cells = r["w"] * len(classes)
+        if size and size + cells > CELLS:
+            starts.append(r["pair"])
+            size = 0
+        size += cells
+
+    def models() -> Iterator[Model]:
+        none = (np.empty(0, np.uint64), np.empty(0, np.int64))
+        for a, z in zip(starts, [*starts[1:], 1 << 2 * SYMBOL], strict=True):
+            own = collected(counts.where((pair >= a) & (pair < z)))
+            yield Model({c: own.get(c, none) for c in classes}, seen, low)
+
+    return classes, np.array(starts, np.uint64), models()
 
 
 class Kneser:
     """One class: at each level, windows with discounted probabilities and contexts with the weight of the level below."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, seen: tuple[int, int], order: int = ORDER):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, seen, order: int = ORDER, low: Kneser | None = None):
+        """seen: numbers of windows seen once and twice at the top level; with `low`, the model of the levels below 3, those of
+        all blocks at each level."""
         self.p: list = [None] * (order + 1)
         self.context: list = [None] * (order + 1)
         for k in range(order, 0, -1):
-            one, two = seen if k == order else (int((counts == 1).sum()), int((counts == 2).sum()))
+            if low and k == 2:
+                self.p[1:3], self.context[1:3] = low.p[1:3], low.context[1:3]
+                break
+            one, two = seen[k] if low else seen if k == order else (int((counts == 1).sum()), int((counts == 2).sum()))
             d = one / (one + 2 * two) if one and two else 0.75
             d = min(max(d, 0.1), 0.9)
             h, first, kinds = np.unique(keys >> _ONE, return_index=True, return_counts=True)
@@ -145,17 +163,16 @@ class Kneser:
             self.p[k] = (keys, np.maximum(counts - d, 0) / np.repeat(total, kinds))
             self.context[k] = (h, d * kinds / total)
             keys, counts = np.unique(keys & _MASK[k - 1], return_counts=True)
-        self.rest = float(self.context[1][1][0])
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return i, table[i] == keys
+        i = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
+        return i, table[i] == keys if len(table) else np.zeros(len(keys), bool)
 
     def weight(self, k: int, contexts: np.ndarray) -> np.ndarray:
         h, g = self.context[k]
         i, ok = self._find(h, contexts)
-        return np.where(ok, g[i], 1.0)
+        return np.where(ok, g[i], 1.0) if len(h) else np.ones(len(contexts))
 
     def probability(self, k: int, keys: np.ndarray) -> np.ndarray:
         """Interpolated probability of the last symbol of each window of k symbols."""
@@ -163,15 +180,15 @@ class Kneser:
             return np.full(len(keys), 1.0 / (1 << SYMBOL))
         table, p = self.p[k]
         i, ok = self._find(table, keys)
-        return np.where(ok, p[i], 0.0) + self.weight(k, keys >> _ONE) * self.probability(k - 1, keys & _MASK[k - 1])
+        return (np.where(ok, p[i], 0.0) if len(p) else 0.0) + self.weight(k, keys >> _ONE) * self.probability(k - 1, keys & _MASK[k - 1])
 
 
 class Model:
     """All classes in one: at each level the sorted windows of any class and their log probabilities in each."""
 
-    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray]], seen: dict[str, tuple[int, int]]):
+    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray]], seen: dict, low: dict[str, Kneser] | None = None):
         self.classes = sorted(counted)
-        own = [Kneser(*counted[c], seen[c]) for c in self.classes]
+        own = [Kneser(*counted[c], seen[c], low=low and low[c]) for c in self.classes]
         self.windows, self.contexts = {}, {}
         for k in range(1, ORDER + 1):
             keys = np.unique(np.concatenate([m.p[k][0] for m in own]))
@@ -197,6 +214,20 @@ class Model:
         out[at] -= np.float32(SYMBOL * np.log(2))
         return out
 
+
+class Blocks:
+    """A model in blocks, each broadcast by itself. A worker keeps a block if it is the only one; otherwise it reads one after
+    another for each group of windows, and holds one at a time."""
+
+    def __init__(self, classes: list[str], starts: np.ndarray, parts: list):
+        self.classes, self.starts, self.parts = classes, starts, parts
+
+    def part(self, i: int) -> Model:
+        value = self.parts[i].value
+        if len(self.parts) > 1:
+            self.parts[i].__dict__.pop("_value", None)
+        return value
+
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of each text, and nats for each symbol in each class."""
         n = np.zeros(len(texts), np.int64)
@@ -205,9 +236,15 @@ class Model:
         which: list[int] = []
 
         def flush() -> None:
-            sizes = np.array([len(w) for w in held])
-            lp = self.log_probabilities(np.concatenate(held))
-            nats[which] = -np.add.reduceat(lp, np.cumsum(sizes) - sizes, axis=0, dtype=np.float64)
+            w, row = np.concatenate(held), np.repeat(which, [len(x) for x in held])
+            block = np.searchsorted(self.starts, pairs_of(w), side="right") - 1
+            for i in range(len(self.parts)):
+                at = np.flatnonzero(block == i)
+                model = self.part(i) if len(at) else None
+                for a in range(0, len(at), 100_000):
+                    some = at[a : a + 100_000]  # rows rise
+                    first = np.flatnonzero(np.diff(row[some], prepend=-1))
+                    nats[row[some[first]]] -= np.add.reduceat(model.log_probabilities(w[some]), first, axis=0, dtype=np.float64)
             held.clear()
             which.clear()
 
@@ -219,7 +256,7 @@ class Model:
                 held.append(w)
                 which.append(i)
                 size += len(w)
-            if size > 100_000:
+            if size > (GROUP if len(self.parts) > 1 else 100_000):
                 flush()
                 size = 0
         if held:

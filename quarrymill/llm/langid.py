@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .charlm import Model, count_windows, frequent
+from .charlm import Blocks, blocks, count_windows
 from .common import read_documents, small_batches, staged
 
 REJECT = 0.005
@@ -31,22 +31,20 @@ def part(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))
 
 
-def train(labelled: DataFrame) -> Model | None:
-    """A model of texts (class, text)."""
-    counted, seen = frequent(staged(count_windows(labelled), "windows"))
-    return Model(counted, seen) if counted else None
+def train(labelled: DataFrame) -> Blocks | None:
+    """A model of texts (class, text), of all their windows."""
+    classes, starts, models = blocks(staged(count_windows(labelled), "windows"))
+    return Blocks(classes, starts, [labelled.sparkSession.sparkContext.broadcast(m) for m in models]) if classes else None
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
+def scored(docs: DataFrame, model: Blocks | None) -> DataFrame:
     """docs without text, with lang_pred, cross_entropy and evidence."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "text"]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = model
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             lang, best, evidence = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))

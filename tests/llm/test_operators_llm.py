@@ -407,3 +407,20 @@ def test_encoder_equals_the_library_on_added_tokens(name, kind):
     cases = [x for t in literals for x in (t, f"x {t} y", f"a{t}b\n{t}{t}", f"日本 {t} é", f"X {t.upper()} y", t[:-1], f"{t[:-2]} {t[-2:]}", f"Plain words. {t}")] + ["Plain words.", "< | endoftext | >"]
     for t, ids in zip(cases, own.encode(cases), strict=True):
         assert ids == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_blocks_equal_the_whole_model(spark, monkeypatch):
+    """In one block or many, a model has all windows of all classes, however many."""
+    r = random.Random(4)
+    own = [(f"l{k:03d}", " ".join("".join(r.choice("abcdefghij"[k % 5 :]) for _ in range(5)) for _ in range(40))) for k in range(230)]
+    counted = {c: np.unique(charlm.windows(charlm.symbols(t)), return_counts=True) for c, t in own}
+    whole = charlm.Model(counted, {c: (int((n == 1).sum()), int((n == 2).sum())) for c, (_, n) in counted.items()})
+    lines_ = [t for _, t in own[:9]] + ["", "zzz abc", "other words"]
+    want = np.array([-whole.log_probabilities(w).mean(axis=0, dtype=float) if len(w) else np.zeros(230) for w in (charlm.windows(charlm.symbols(t)) for t in lines_)])
+    labelled = spark.createDataFrame(own, "class string, text string")
+    for cells in (10**9, 300_000):
+        monkeypatch.setattr(charlm, "CELLS", cells)
+        m = langid.train(labelled)
+        assert m.classes == sorted(counted) and (len(m.parts) > 3) == (cells < 10**9)
+        _, got = m.cross_entropy(lines_)
+        assert np.allclose(got, want, atol=1e-4)
