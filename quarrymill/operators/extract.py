@@ -36,24 +36,23 @@ def heading_mentions(chunks: DataFrame, kind: str) -> DataFrame:
 
 
 def build_prompt(context: str, entities: dict, relations: dict, text: str, section_path: str = "") -> str:
-    """What an extractor is asked. entities: name to {definition, examples, not}; relations: name to {from, to, definition}."""
-    out = [f"Extract named entities from this excerpt of {context}."]
-    if section_path and section_path != X.ROOT:
-        out.append(f"The excerpt sits under the section: {section_path}")
-    out += ["", "Types:"]
-    for name, t in entities.items():
-        examples = f" Examples: {', '.join(t['examples'])}." if t.get("examples") else ""
-        unlike = f" NOT: {t['not']}." if t.get("not") else ""
-        out.append(f"  {name} = {t['definition']}{examples}{unlike}")
-    if relations:
-        out += ["", "Relationships, only where the excerpt states them:"]
-        out += [f"  {name}: from a `{r['from']}` to a `{r['to']}`" + (f" — {r['definition']}" if r.get("definition") else "") for name, r in relations.items()]
-        out.append("`from` and `to` are names of entities in your list, copied exactly; a relationship of any other is left out.")
-    shape = {"entities": [{"type": "...", "name": "...", "description": "its own facts, in a sentence", "confidence": "0.0-1.0"}]}
-    if relations:
-        shape["relations"] = [{"type": "...", "from": "...", "to": "..."}]
-    out += ["", f"Answer with JSON only: {json.dumps(shape)}", "Rules:", "- The fullest name that the excerpt gives, one type for each name.", "- Nothing that the excerpt does not say; an empty list is a right answer.", f"\n---\n{text}\n---"]
-    return "\n".join(out)
+    """What an extractor is asked: one JSON object with the kinds to look for and the form of the reply, then the passage between
+    two rules. entities: name to {definition, examples, not}; relations: name to {from, to, definition}."""
+    kinds = {k: {"meaning": t["definition"]} | ({"such_as": t["examples"]} if t.get("examples") else {}) | ({"unlike": t["not"]} if t.get("not") else {}) for k, t in entities.items()}
+    links = {k: {"source_kind": r["from"], "target_kind": r["to"]} | ({"meaning": r["definition"]} if r.get("definition") else {}) for k, r in relations.items()}
+    reply: dict = {"entities": [{"type": "a kind", "name": "as the passage spells it", "description": "what the passage says of it", "confidence": "a number up to 1"}]}
+    if links:
+        reply["relations"] = [{"type": "a link", "from": "a listed name of source_kind", "to": "a listed name of target_kind"}]
+    asked = {
+        "task": "Read the passage below and list each thing of these kinds that it names" + (", and each link that it states between two of them." if links else "."),
+        "collection": context,
+        "heading": section_path if section_path != X.ROOT else "",
+        "kinds": kinds,
+        "links": links,
+        "reply": reply,
+        "notes": ["Reply with one object of the form `reply`, as JSON, and no other words.", "Lists may be empty.", "Take everything from the passage alone; where it has a short and a long form of a name, take the long one, once."],
+    }
+    return json.dumps({k: v for k, v in asked.items() if v}, ensure_ascii=False, indent=1) + f"\n---\n{text}\n---"
 
 
 def call(chunks: DataFrame, provider: Callable[[list[str]], list[str | None]], prompt: Callable[[str, str], str], parallel: int | None = None) -> DataFrame:

@@ -111,7 +111,13 @@ def test_reconcile(spark):
 
 def test_prompt():
     p = extract.build_prompt("a CV", {"role": {"definition": "a post", "examples": ["CTO"], "not": "a firm"}}, {"AT": {"from": "role", "to": "org", "definition": ""}}, "text", "A > B")
-    assert "excerpt of a CV" in p and "A > B" in p and "role = a post Examples: CTO. NOT: a firm." in p and p.endswith("---\ntext\n---")
+    head, passage, rest = p.split("\n---\n")[0], *p.split("\n---\n")[1].rsplit("\n", 1)
+    asked = json.loads(head)
+    assert passage == "text" and rest == "---" and asked["collection"] == "a CV" and asked["heading"] == "A > B"
+    assert asked["kinds"] == {"role": {"meaning": "a post", "such_as": ["CTO"], "unlike": "a firm"}} and asked["links"] == {"AT": {"source_kind": "role", "target_kind": "org"}}
+    assert set(asked["reply"]) == {"entities", "relations"}
+    plain = json.loads(extract.build_prompt("a CV", {"role": {"definition": "a post"}}, {}, "text", X.ROOT).split("\n---\n")[0])
+    assert "links" not in plain and "heading" not in plain and set(plain["reply"]) == {"entities"}
 
 
 def test_similarity(spark):
