@@ -8,11 +8,9 @@ import re
 
 import numpy as np
 
-#: Entries of the cache; it is emptied when it has more, so a worker's memory is bounded.
+#: Entries of one of the two generations of the cache, so that a worker's memory is bounded.
 CACHE = 500_000
-#: Texts that are split, and new pieces that are encoded, at a time.
-TEXTS, PIECES = 8, 5_000
-#: Texts with other characters are encoded as one piece by the library. For these (printable ASCII, ASCII white space,
+#: Texts with other characters are encoded whole by the library. For these (printable ASCII, ASCII white space,
 #: Latin-1 letters) the patterns below split as the tokenizers' own do.
 _PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7eÀ-ÖØ-öø-ÿ]*")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -28,16 +26,48 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+class _Known(dict):
+    """Ids, as bytes, of each piece met; a piece that is new is encoded by the library's model when it is asked for. When it is
+    full, it becomes the old generation, and pieces that are asked for again come back from there."""
+
+    def __init__(self, model, dtype: str):
+        size = np.dtype(dtype).itemsize
+        self.model, self.of_id = model, [i.to_bytes(size, "little") for i in range(1 << 16)]
+        letters = _byte_letters()
+        self.bytes = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(256)}
+        self.space = self.bytes[0x20]
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(piece)
+        if ids is None:
+            printable = piece.isascii() and piece.isprintable()
+            letters = piece.replace(" ", self.space) if printable else piece.translate(self.bytes)
+            of_id = self.of_id
+            ids = b"".join([of_id[t.id] for t in self.model.tokenize(letters)])
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """encode(texts): for each text its ids as little-endian unsigned integers of `dtype`.
 
-    A tokenizer never merges across the pieces that it splits a text into first. So each distinct piece is encoded once by
-    the library, many at a time in one text, and texts are put together from the pieces' ids. In such a text, pieces end
-    where a tokenizer of kind "words" (lower case, white space dropped) marks a word's end, and where one of kind "bytes" has
-    the line feed that was put between them.
+    A tokenizer never merges across the pieces that it splits a text into first. So each distinct piece is encoded once, by the
+    library's model, and texts are put together from the pieces' ids. Only plain texts are split here; others are encoded whole
+    by the library.
 
     The library cuts a text at its added tokens (such as <|endoftext|>) before that; texts with the literal of one, in any
-    case of letters, are encoded as one piece by the library.
+    case of letters, are encoded whole too.
     """
 
     def __init__(self, path: str, kind: str, dtype: str = "<u4"):
@@ -48,49 +78,22 @@ class Encoder:
         self.kind, self.dtype = kind, dtype
         added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        vocabulary = self.library.get_vocab()
-        assert max(vocabulary.values()) <= np.iinfo(dtype).max
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if (t.endswith("</w>") if kind == "words" else t == "Ċ")]] = True
-        self.cache: dict[str, bytes] = {}
+        assert max(self.library.get_vocab().values()) <= min(np.iinfo(dtype).max, (1 << 16) - 1)
+        self.known = _Known(self.library.model, dtype)
 
-    def _ids(self, text: str) -> np.ndarray:
+    def _whole(self, text: str) -> bytes:
         (e,) = self.library.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(e.ids, self.dtype)
-
-    def _learn(self, pieces: list[str]) -> None:
-        if self.kind == "words":
-            ids = self._ids(" ".join(pieces))
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            start, end = np.append(0, stop[:-1]), stop
-        else:
-            ids = self._ids("\n".join(pieces) + "\n")
-            end = np.flatnonzero(self.ends[ids])
-            start = np.append(0, end[:-1] + 1)
-        if len(end) == len(pieces):
-            raw, size = ids.tobytes(), ids.itemsize
-            self.cache.update((x, raw[a:z]) for x, a, z in zip(pieces, (start * size).tolist(), (end * size).tolist(), strict=True))
-        else:
-            self.cache.update((x, self._ids(x).tobytes()) for x in pieces)
+        return np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), TEXTS):
-            out += self._encode(texts[at : at + TEXTS])
+        split, get, lower = _PIECES[self.kind].findall, self.known.__getitem__, self.kind == "words"
+        out = []
+        for t in texts:
+            low = t.lower()
+            plain = _PLAIN.fullmatch(t) is not None and self.added.search(low) is None
+            out.append(b"".join(map(get, split(low if lower else t))) if plain else self._whole(t))
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        split = _PIECES[self.kind].findall
-        plain = [_PLAIN.fullmatch(t) is not None and self.added.search(t.lower()) is None for t in texts]
-        parts = [split(t.lower() if self.kind == "words" else t) if ok else () for t, ok in zip(texts, plain, strict=True)]
-        new = [x for x in set().union(*parts).difference(self.cache) if not x.isspace() or self.cache.setdefault(x, self._ids(x).tobytes()) is None]
-        for at in range(0, len(new), PIECES):
-            self._learn(new[at : at + PIECES])
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) if ok else self._ids(t).tobytes() for t, p, ok in zip(texts, parts, plain, strict=True)]
-
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, kind: str, dtype: str = "<u4") -> Encoder:
