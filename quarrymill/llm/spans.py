@@ -1,20 +1,21 @@
 """Windows of L consecutive symbols that stand earlier in the corpus, found exactly without a row for each window.
 
-The cover. Of the k-symbol grams of a window, the one of least hash (the leftmost of equals) is its anchor. Consecutive
-windows share anchors, so a text falls into runs of windows, about (L-k+2)/2 long, each a stretch of text ("span") around an
-anchor. Equal windows have equal anchors at the same place in them: the anchors are a cover of the windows that, unlike an
-arithmetic difference cover, is fixed by content, so a row for each run suffices (one for each 35 bytes or 16 words here).
+Runs. A text falls into runs of windows, each a stretch of text ("span") around a gram of k symbols. Equal windows must be in runs of
+equal grams ("buckets") at the same place. Two choices give that. Content anchors: of the grams of a window, the one of least hash
+(the leftmost of equals); consecutive windows share it, so a row suffices for each (L-k+2)/2 symbols. A difference cover (cover.py): a
+sample of places of which any two equal windows share one.
 
-Stage 1, per task: runs get the hash of their anchor ("bucket") and of their whole span. Repeats within the task are settled
+Stage 1, per task: runs get the hash of their gram ("bucket") and of their whole span. Repeats within the task are settled
 there; the others are dealt by bucket as packed columns. Stage 2 sorts one bucket range at a time. Equal spans: all but the
-first are repeats. A bucket with different spans is a tie that the anchor can't settle: its spans are asked for. Stage 3
+first are repeats. A bucket with different spans is a tie that the gram can't settle: its spans are asked for. Stage 3
 reads the texts asked for, and settles their windows one by one by the hash of the whole window.
 
 Hot groups. A span in a third of all documents leaves each task once. A bucket that has different spans within a task (a
 common line amid different text) is dealt by span, with one marker row for the bucket, so no task meets all its spans; and
 stage 3 deals by window, each distinct window leaving a task once.
 
-Hashes are of 64 bits; two unlike windows count as equal only if anchor and span, or window and anchor, agree in both.
+Two unlike windows count as equal only if two hashes agree in both: anchor and span, or two hashes of the whole window that are made
+in different ways (`grams`, `rolled`). No text is compared with another.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, width
+from .cover import cover_runs, named
 
 NO_ID = np.iinfo(np.int64).max
 #: Runs (or windows) that a task holds before it settles repeats among them and sends the rest.
@@ -91,6 +93,19 @@ def grams(h: np.ndarray, *sizes: int) -> list[np.ndarray]:
     return out
 
 
+_POWERS = [np.cumprod(np.full(1 << 16, 0xD6E8FEB86659FD93, np.uint64)), np.cumprod(np.full(1 << 16, pow(0xD6E8FEB86659FD93, -1, 1 << 64), np.uint64))]
+
+
+def rolled(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A second hash, made another way (a polynomial), of the windows that begin at these places."""
+    while len(_POWERS[0]) < len(h):
+        for i, p in enumerate(_POWERS):
+            _POWERS[i] = np.concatenate([p, p * p[-1]])
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h) * _POWERS[0][: len(h)], out=sums[1:])
+    return mix((sums[at + length] - sums[at]) * _POWERS[1][at])
+
+
 def _least(key: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive keys."""
     n, m, step = len(key) - w + 1, key, 1
@@ -118,10 +133,11 @@ def block_runs(h: np.ndarray, ok: np.ndarray, length: int, k: int):
 
 
 class Blocks:
-    """Cuts texts into blocks of symbols and gives runs (or hashes) of their windows."""
+    """Cuts texts into blocks of symbols and gives runs of their windows; with `white` (the white space among the symbols), those
+    of a difference cover."""
 
-    def __init__(self, length: int, k: int):
-        self.length, self.k = length, k
+    def __init__(self, length: int, k: int, white: np.ndarray | None = None):
+        self.length, self.k, self.white = length, k, white
         self.clear()
 
     def clear(self) -> None:
@@ -147,13 +163,30 @@ class Blocks:
         ok = np.ones(max(len(h) - self.length + 1, 0), bool)
         for o, s in zip(offset.tolist(), sizes.tolist(), strict=True):
             ok[max(o + s - self.length + 1, 0) : o + s] = False
-        first, n, bucket, span = block_runs(h, ok, self.length, self.k) if len(ok) else [np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)] * 2
+        if not len(ok):
+            first, n, bucket, span = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)] * 2
+        elif self.white is None:
+            first, n, bucket, span = block_runs(h, ok, self.length, self.k)
+        else:
+            first, n, bucket, span = self.sampled(h, ok, offset, sizes)
         of = np.searchsorted(offset, first, side="right") - 1
         doc = np.array([m[0] for m in self.meta], np.int64)[of] if self.meta else np.empty(0, np.int64)
         start = (first - offset[of] + np.array([m[1] for m in self.meta], np.int64)[of]) if self.meta else np.empty(0, np.int64)
         self.clear()
         return doc, start, n, bucket, span
 
+    def sampled(self, h: np.ndarray, ok: np.ndarray, offset: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        white = h == self.white[0]
+        for x in self.white[1:]:
+            white |= h == x
+        runs = cover_runs(white, ok, offset, sizes, self.length, self.k)
+        hashes = dict(zip(sizes_ := [self.length, *{r[3] for r in runs}], grams(h, *sizes_), strict=True))
+        window, out = hashes[self.length], []
+        for first, n, at, k, salt in runs:
+            bucket, span = named(hashes[k][at], window[first], window[first + n - 1], n, at - first, salt)
+            out.append((first, n, bucket, span))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
 
 def _groups(first: np.ndarray) -> list[tuple[int, int]]:
     """(start, end) of each group of rows, given which rows are the first of one."""
@@ -221,13 +254,13 @@ def _dealt(p: np.ndarray, batch: np.ndarray, columns: list[np.ndarray]) -> list[
     return [(int(p[a]), RUNS, None, int(batch[a]), pack_columns(*[c[a:z] for c in columns])) for a, z in _groups(_changes(p, batch))]
 
 
-def runs_of(texts: DataFrame, hashed: Callable[[], Callable[[str], np.ndarray]], length: int, k: int, parts: int, within: bool, bounds: list[int] = ()) -> DataFrame:
+def runs_of(texts: DataFrame, hashed: Callable[[], Callable[[str], np.ndarray]], length: int, k: int, parts: int, within: bool, bounds: list[int] = (), white: np.ndarray | None = None) -> DataFrame:
     """Stage 1. hashed() makes, on the worker, the function from a text to its symbols' hashes. bounds: first doc_id of each
-    later batch."""
+    later batch. white: as for Blocks."""
     edges = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, blocks, held, size = hashed(), Blocks(length, k), [], 0
+        of, blocks, held, size = hashed(), Blocks(length, k, white), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             doc, start, n, bucket, span = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -356,15 +389,14 @@ def settle_windows(asked: DataFrame, hashed: Callable[[], Callable[[str], np.nda
         of, held, size = hashed(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, start, h = (np.concatenate(c) for c in zip(*held, strict=True))
+            doc, start, h, g = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            zero = np.zeros(len(h), np.uint64)
-            o, gone, _ = _repeats(zero, h, doc, start, within)
-            doc, start, h = doc[o], start[o], h[o]
+            o, gone, _ = _repeats(g, h, doc, start, within)
+            doc, start, h, g = doc[o], start[o], h[o], g[o]
             yield from _emit_all(interval_rows(doc[gone], start[gone], start[gone] + length, parts))
-            doc, start, h = doc[~gone], start[~gone], h[~gone]
+            doc, start, h, g = doc[~gone], start[~gone], h[~gone], g[~gone]
             one = np.ones(len(h), np.uint8)
-            yield from _emit_all(_dealt((h >> np.uint64(32)).astype(np.int64) % parts, np.zeros(len(h), np.int64), [h * np.uint64(0), h, doc, start, one, one * 0]))
+            yield from _emit_all(_dealt((g >> np.uint64(32)).astype(np.int64) % parts, np.zeros(len(h), np.int64), [g, h, doc, start, one, one * 0]))
 
         for b in batches:
             for doc, packed, data in zip(*[b.column(c).to_pylist() for c in ("doc_id", "packed", "data")], strict=True):
@@ -374,7 +406,7 @@ def settle_windows(asked: DataFrame, hashed: Callable[[], Callable[[str], np.nda
                 wanted = np.unique(np.concatenate([np.arange(a, z) for a, z in spans.tolist()] or [low]))
                 wanted = wanted[wanted <= len(symbols) - length]  # another version of the document may be shorter
                 (h,) = grams(symbols, length)
-                held.append((np.full(len(wanted), NO_ID if doc is None else doc, np.int64), wanted, h[wanted]))
+                held.append((np.full(len(wanted), NO_ID if doc is None else doc, np.int64), wanted, h[wanted], rolled(symbols, wanted, length)))
                 size += len(wanted)
                 if size >= FLUSH:
                     yield from flush()

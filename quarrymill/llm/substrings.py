@@ -1,10 +1,17 @@
 """Substring dedup by bytes: every byte of a string of LENGTH bytes that also starts earlier goes.
 
-Earlier means a smaller doc_id, or the same document and an earlier start. Strings are judged on the input. Suffixes count
-to a depth of LENGTH bytes: spans.py sorts one suffix bucket at a time and settles ties by names of a cover of the suffixes.
-
-Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; null doc_ids come last in the order and are one
-document; rows that share a doc_id are versions of one document, and what goes from one goes from each.
+Earlier means a smaller doc_id, or the same document and an earlier start. Strings are judged on the input.
+
+Suffixes matter to a depth of LENGTH bytes. A difference cover (cover.py) samples them, about one for 14 bytes. Each sampled suffix
+is ranked by names of bounded prefixes, computed where its text is: one of GRAM bytes, by which it goes to a suffix bucket, and one of
+all the windows that it stands for. A task sorts one bucket range at a time, so its memory is that of one range (spans.py). Of
+suffixes with equal names all but the first repeat. Long ties, suffixes that share a bucket's prefix and differ later, are settled for
+each window by itself. Only equality counts, so names order the suffixes of a bucket, not their bytes.
+
+Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; very long texts are cut into overlapping blocks, which
+changes no result; null doc_ids come last in the order and are one document; rows that share a doc_id are versions of one document,
+and what goes from one goes from each, where it has that place; of equal strings the first in the order stays; an empty table gives
+no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ from .spans import INTERVALS, REQUESTS, by_document, merge_pairs, removed, runs_
 LENGTH = 100
 GRAM = 32
 _BYTES = table_of_hashes(256, 5)
+WHITE = _BYTES[[*range(0x09, 0x0E), 0x20]]
 
 
 def hashed_bytes():
@@ -40,7 +48,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """doc_id and the intervals (lists of packed pairs) of its repeated bytes."""
     d = texts(docs)
     parts = 4 * width(d.sparkSession)
-    settled = staged(settle_runs(runs_of(d, hashed_bytes, length, gram, parts, True), length, True), "byte-runs")
+    settled = staged(settle_runs(runs_of(d, hashed_bytes, length, gram, parts, True, white=WHITE), length, True), "byte-runs")
     asked = with_rows(d, by_document(settled, REQUESTS), "inner")
     rest = settle_windows(asked, hashed_bytes, length, parts, True)
     return by_document(settled.where(settled.kind == INTERVALS).unionByName(rest), INTERVALS)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm import charlm, components, decontaminate, encoding, fingerprints, langid, lines, neardup, packing, quality, spans, substrings, tokens, toxicity
+from quarrymill.llm import charlm, components, cover, decontaminate, encoding, fingerprints, langid, lines, neardup, packing, quality, spans, substrings, tokens, toxicity
 from quarrymill.llm.common import staged, texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, row string, starts string, quality string, data string"
@@ -103,6 +103,55 @@ def test_words(docs, batches):
     assert rows(got, 3) == want
 
 
+def gone_bytes(texts_):
+    """Brute force over (doc, text) in order: the removed positions of each document."""
+    seen, out = set(), {}
+    for d, t in texts_:
+        b = t.encode()
+        cut = np.zeros(len(b), bool)
+        for i in range(len(b) - 99):
+            w = hash(b[i : i + 100])
+            if w in seen:
+                cut[i : i + 100] = True
+            seen.add(w)
+        out[d] = cut
+    return out
+
+
+def test_long_texts_and_texts_without_words(spark):
+    """A text beyond the cut of 524,288 symbols that repeats itself and others, scripts without spaces, very long words."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 12)))
+    long = " ".join(word() for _ in range(170_000))
+    cjk = "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(600))
+    solid = "".join(r.choice("abcdefgh") for _ in range(3000))
+    mixed = " ".join("".join(r.choice("xyz") for _ in range(r.choice([3, 60]))) for _ in range(60))
+    found = [(0, long + long[300_000:300_700]), (1, long[524_200:524_500] + "|" + cjk), (2, "z" + cjk[50:400] + solid[:1000]), (3, solid[37:1500] + " " + mixed), (4, "a " + mixed[3:] + long[-150:])]
+    d = make(spark, found).repartition(3)
+    got = {r[0]: spans.merge_pairs(spans.pairs(r[1]), 1 << 40) for r in substrings.repeated_bytes(d).collect()}
+    assert len(found[0][1]) > 1_000_000
+    for doc, cut in gone_bytes(found).items():
+        mine = np.zeros(len(cut), bool)
+        for a, z in got.get(doc, []):
+            mine[a:z] = True
+        assert (mine == cut).all(), doc
+    assert all(cut.any() for cut in gone_bytes(found).values())
+
+
+def test_difference_covers():
+    for v, d in cover.SETS.items():
+        assert {(a - b) % v for a in d for b in d} == set(range(v))
+        assert all(any(cover.sampled(np.array([i + x, j + x]), v).all() for x in range(v)) for i in range(v) for j in range(v))
+    assert cover.period_of(100) == 73 and cover.period_of(12) == 7 and cover.period_of(3) == 0
+
+
+def test_two_hashes_of_a_window():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 200_000).astype(np.uint64)
+    h[150_000:150_200] = h[100:300]
+    a, b = spans.rolled(h, np.array([100, 101]), 100), spans.rolled(h, np.array([150_000, 150_002]), 100)
+    assert a[0] == b[0] and a[1] != b[1]
+
+
 def test_other_runs_give_the_same(docs):
     """Other tasks and longer anchors give the same bytes."""
     before = {r[0]: sorted(map(tuple, spans.merge_pairs(spans.pairs(r[1]), 10**9).tolist())) for r in substrings.repeated_bytes(docs).collect()}
