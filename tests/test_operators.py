@@ -116,7 +116,7 @@ def test_prompt():
     assert passage == "text" and rest == "---" and asked["collection"] == "a CV" and asked["heading"] == "A > B"
     assert asked["kinds"] == {"role": {"meaning": "a post", "such_as": ["CTO"], "unlike": "a firm"}} and asked["links"] == {"AT": {"source_kind": "role", "target_kind": "org"}}
     assert set(asked["reply"]) == {"entities", "relations"}
-    plain = json.loads(extract.build_prompt("a CV", {"role": {"definition": "a post"}}, {}, "text", X.ROOT).split("\n---\n")[0])
+    plain = json.loads(extract.build_prompt("a CV", {"role": {"definition": "a post"}}, {}, "text", "(root)").split("\n---\n")[0])
     assert "links" not in plain and "heading" not in plain and set(plain["reply"]) == {"entities"}
 
 
