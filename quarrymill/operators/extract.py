@@ -21,12 +21,12 @@ def structural_entities(chunks: DataFrame, types: list[str]) -> tuple[DataFrame,
     """Each distinct heading of the chunks' paths (doc, index, section_path) as an entity, if exactly one type is asked for;
     and why it was skipped otherwise. The first spelling in order of chunks is the name."""
     if len(types) != 1:
-        empty = chunks.where(F.lit(False)).select("doc", F.lit("").alias("id"), F.lit("").alias("type"), F.lit("").alias("name"), F.lit("").alias("description"), F.lit(1.0).alias("confidence"))
+        empty = chunks.where(F.lit(False)).select("doc", F.lit("").alias("id"), F.lit("").alias("type"), F.lit("").alias("name"), F.lit("").alias("description"), F.lit(1.0).alias("confidence"), F.lit(0).alias("chunk"), F.lit(0).alias("place"))
         return empty, f"structural needs exactly one entity type, {len(types)} were asked for"
     parts = chunks.select("doc", "index", F.posexplode(X.segments(F.col("section_path"))).alias("at", "name"))
     eid = X.entity_id(F.lit(types[0].lower()), F.col("name"))
-    first = parts.groupBy("doc", eid.alias("id")).agg(F.min_by("name", F.struct("index", "at")).alias("name"))
-    return first.select("doc", "id", F.lit(types[0].lower()).alias("type"), "name", F.lit("").alias("description"), F.lit(1.0).alias("confidence")), None
+    first = parts.groupBy("doc", eid.alias("id")).agg(F.min(F.struct(F.col("index").alias("chunk"), F.col("at").alias("place"), "name")).alias("e"))
+    return first.select("doc", "id", F.lit(types[0].lower()).alias("type"), "e.name", F.lit("").alias("description"), F.lit(1.0).alias("confidence"), "e.chunk", "e.place"), None
 
 
 def heading_mentions(chunks: DataFrame, kind: str) -> DataFrame:
@@ -68,6 +68,53 @@ def call(chunks: DataFrame, provider: Callable[[list[str]], list[str | None]], p
     return d.mapInPandas(run, "doc string, chunk int, reply string")
 
 
+def steady(provider: Callable[[list[str]], list[str | None]], tries: int = 3, seconds: float = 300.0, wait: float = 1.0, shape: dict[str, type] | None = None) -> Callable[[list[str]], list[str | None]]:
+    """A provider that is asked up to `tries` times and given `seconds` each time. Only prompts without a usable reply are asked again:
+    those of a call that failed, took too long or gave another number of replies, and, with `shape` (names of members and their
+    types; a bare list passes), those whose reply is no such JSON. What is still without one is None."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    def usable(reply: str | None) -> bool:
+        if reply is None or shape is None:
+            return reply is not None
+        said = json_of(reply)
+        return isinstance(said, list) or isinstance(said, dict) and all(isinstance(said.get(k, kind()), kind) for k, kind in shape.items())
+
+    def ask(prompts: list[str]) -> list[str | None]:
+        out: list[str | None] = [None] * len(prompts)
+        left = list(range(len(prompts)))
+        for n in range(tries):
+            if n:
+                time.sleep(wait * n)
+            pool = ThreadPoolExecutor(1)
+            try:
+                said = pool.submit(provider, [prompts[i] for i in left]).result(seconds)
+            except Exception:  # whatever a provider raises, its prompts are asked again
+                said = None
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
+            if said is not None and len(said) == len(left):
+                for i, reply in zip(left, said, strict=True):
+                    out[i] = reply if usable(reply) else None
+            left = [i for i in left if out[i] is None]
+            if not left:
+                break
+        return out
+
+    return ask
+
+
+def json_of(reply: str):
+    """The JSON value in a reply, without thoughts and fences before and after it; None if there is none."""
+    text = reply.rsplit("</think>", 1)[-1]
+    starts = [i for i in (text.find("{"), text.find("[")) if i >= 0]
+    try:
+        return json.JSONDecoder().raw_decode(text[min(starts) :])[0] if starts else None
+    except ValueError:
+        return None
+
+
 def dictionary_extractor(names: dict[str, list[str]]) -> Callable[[list[str]], list[str]]:
     """A stand-in for a model: every listed name (by type) that stands in the prompt's excerpt as whole words."""
     listed = [(t, n) for t, own in names.items() for n in own]
@@ -108,7 +155,7 @@ def items_of(parsed_: DataFrame, types: list[str], floor: float = 0.0) -> DataFr
 def dedupe(items: DataFrame, by: list[str] = ["doc"]) -> DataFrame:  # noqa: B006
     """One row for each id: the greatest confidence, the first of equals; NaN is least unless it came first and stays alone."""
     sure = F.when(F.isnan("confidence"), F.lit(float("-inf"))).otherwise(F.col("confidence"))
-    best = F.max_by(F.struct("type", "name", "description", "confidence"), F.struct(sure, -F.col("chunk"), -F.col("pos")))
+    best = F.max_by(F.struct("type", "name", "description", "confidence", "chunk", F.col("pos").alias("place")), F.struct(sure, -F.col("chunk"), -F.col("pos")))
     return items.groupBy(*by, "id").agg(best.alias("e")).select(*by, "id", "e.*")
 
 
@@ -174,13 +221,19 @@ def extraction_digest(items: DataFrame, entities: DataFrame, unresolved: int, ch
 
 def layer_digest(entities: DataFrame, relations: DataFrame, sample: int = 12) -> dict:
     """Counts, counts by type, and the first entities (by pos where there is one), descriptions cut at 120."""
-    order = [F.col("pos")] if "pos" in entities.columns else [F.col("id")]
-    tally = lambda d: {r["type"]: r["n"] for r in d.groupBy("type").agg(F.count("*").alias("n")).collect()}
-    by, rel = tally(entities), tally(relations)
+    order = [F.col(c) for c in ("doc", "pos", "id") if c in entities.columns]
+    found = layer_digests(entities, relations).collect()
+    by, rel = ({r["type"]: r["n"] for r in found if r["kind"] == kind} for kind in ("entity", "relation"))
     first = entities.orderBy(*order).limit(sample).select("type", "name", F.substring(F.coalesce("description", F.lit("")), 1, 120).alias("description")).collect()
     return {"entities": sum(by.values()), "by_type": by, "relations": sum(rel.values()), "by_relation": rel, "sample": [r.asDict() for r in first]}
 
 
+def layer_digests(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """kind ("entity" or "relation"), type, n: what a layer made, by type."""
+    tally = lambda d, kind: d.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
+    return tally(entities, "entity").unionByName(tally(relations, "relation"))
+
+
 def promote(entities: DataFrame, mentions_: DataFrame, fields: dict[str, str]) -> DataFrame:
     """doc, src (chunk) and a column for each index field: the name of an entity of that type that the chunk mentions, cast to
     string, int or float (null where it isn't one)."""
@@ -190,17 +243,41 @@ def promote(entities: DataFrame, mentions_: DataFrame, fields: dict[str, str]) -
     return j.groupBy("doc", "src").agg(*[F.min(F.when(F.col("etype") == f, F.col("name"))).try_cast(kinds[k]).alias(f) for f, k in fields.items()])
 
 
-def embed(items: DataFrame, provider: Callable[[list[str]], list[list[float]]], text: Column, batch: int = 32) -> DataFrame:
-    """items with `embedding`, `batch` texts at a time. A provider that gives another number of vectors fails the run."""
+def promoted(chunks: DataFrame, entities: DataFrame, mentions_: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """chunks (doc, index, ...) with `props`: a map of the index fields that have a value for the chunk (see `promote`), and of what
+    `props` held before."""
+    if not fields:
+        return chunks
+    found = promote(entities, mentions_, fields)
+    own = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f"p.`{f}`").cast("string") for f in fields])), lambda _, v: v.isNotNull())
+    found = found.select("doc", "src", F.struct(*fields).alias("p")).select("doc", "src", own.alias("__props"))
+    src = F.concat(F.lit("markdown_chunk:"), X.cite_hex(X.chunk_id(F.col("doc"), F.col("index"))))
+    none = F.create_map().cast("map<string,string>")
+    d = (chunks if "props" in chunks.columns else chunks.withColumn("props", none)).withColumn("src", src).join(found, ["doc", "src"], "left").drop("src")
+    kept = F.map_filter(F.coalesce("props", none), lambda k, _: ~F.array_contains(F.map_keys(F.coalesce("__props", none)), k))
+    return d.withColumn("props", F.map_concat(kept, F.coalesce("__props", none))).drop("__props")
+
+
+def embed(items: DataFrame, provider: Callable[[list[str]], list[list[float]]], text: Column, batch: int = 32, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """items with `embedding`, `batch` texts at a time. A provider that fails, or gives another number of vectors, `tries` times over
+    fails the run."""
+    import time
 
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
         out: list[list[float]] = []
         for at in range(0, len(texts), batch):
             some = texts.iloc[at : at + batch].fillna("").tolist()
-            got = provider(some)
-            if len(got) != len(some):
-                raise ValueError(f"{len(got)} vectors for {len(some)} texts")
+            for n in range(tries):
+                try:
+                    got = provider(some)
+                    if len(got) != len(some):
+                        raise ValueError(f"{len(got)} vectors for {len(some)} texts")
+                    break
+                except Exception:
+                    if n + 1 == tries:
+                        raise
+                    time.sleep(wait * (n + 1))
             out += got
         return pd.Series(out, index=texts.index)
 

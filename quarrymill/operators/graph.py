@@ -10,47 +10,63 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .store import staged
 
-BLOCK = 512
+#: Vectors of a block; two blocks meet in a task, which multiplies STRIP rows of one by the other at a time.
+BLOCK, STRIP = 2048, 256
 
 
 def similar_pairs(items: DataFrame, floor: float = 0.65, bands=X.BANDS, by: str | None = None) -> DataFrame:
-    """a, b, dot (a before b by pos) of items (id, pos, embedding) with dot >= floor; within `by` if given.
+    """a, b, dot (a before b by pos) of items (id, pos, embedding) with dot >= floor; with `by`, only within equal values of that
+    column, which comes first in the result.
 
-    Items are cut into blocks of pos; each two blocks meet in one task, which multiplies two matrices. So work is quadratic,
-    as the result demands, but no row stands for a pair that isn't one, and no task holds more than two blocks.
+    Items are dealt over blocks by a hash of their id, as many as their number calls for; each two blocks meet in one task. So work is
+    quadratic, as the exact result demands, but no row stands for a pair that isn't one, no task holds more than two blocks, and a
+    vector is sent once for each block there is.
     """
-    own = items.where("embedding IS NOT NULL AND size(embedding) > 0").select((F.col(by).cast("string") if by else F.lit("")).alias("by"), "id", F.col("pos").cast("long").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"))
-    block = F.floor(F.col("pos") / BLOCK)
-    known = own.select("by", block.alias("block")).distinct().groupBy("by").agg(F.collect_list("block").alias("blocks"))
-    meets = own.withColumn("block", block).join(known, "by").withColumn("other", F.explode("blocks"))
+    own = items.where("embedding IS NOT NULL AND size(embedding) > 0").select((F.col(by) if by else F.lit("")).alias("by"), "id", F.col("pos").cast("long").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"))
+    if by:
+        sizes = own.groupBy("by").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        own = own.join(sizes, "by")
+    else:
+        own = own.withColumn("blocks", F.lit(max(1, -(-own.count() // BLOCK))).cast("long"))
+    block = F.pmod(F.xxhash64("id", "pos"), F.col("blocks"))
+    meets = own.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tasks = meets.select("by", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "pos", "embedding")
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
-        i, j = f["i"].iloc[0], f["j"].iloc[0]
-        f = f.sort_values("pos", kind="stable")
+        i, j, key = f["i"].iloc[0], f["j"].iloc[0], f["by"].iloc[0]
+        f = f.sort_values(["pos", "id"], kind="stable")
         left, right = f[f["block"] == i], f[f["block"] == j]
         wide = f["embedding"].str.len().max()
         grid = lambda x: np.array([np.pad(np.asarray(v, float), (0, wide - len(v))) for v in x["embedding"]]).reshape(len(x), wide)
-        with np.errstate(invalid="ignore"):
-            dots = grid(left) @ grid(right).T
-            a, b = np.nonzero(dots >= floor)
-        pl, pr = left["pos"].to_numpy()[a], right["pos"].to_numpy()[b]
-        k = pl < pr
-        a, b = a[k], b[k]
-        return pd.DataFrame({"a": left["id"].to_numpy()[a], "b": right["id"].to_numpy()[b], "dot": dots[a, b]})
-
-    kind = items.schema["id"].dataType.simpleString()
-    return tasks.groupBy("by", "i", "j").applyInPandas(meet, f"a {kind}, b {kind}, dot double")
+        rows, columns = grid(left), grid(right)
+        pl, pr = left["pos"].to_numpy(), right["pos"].to_numpy()
+        il, ir = left["id"].to_numpy(), right["id"].to_numpy()
+        found = []
+        for at in range(0, len(rows), STRIP):
+            with np.errstate(invalid="ignore"):
+                dots = rows[at : at + STRIP] @ columns.T
+                a, b = np.nonzero(dots >= floor)
+            dot, a = dots[a, b], a + at
+            before = pl[a] < pr[b]
+            k = before if i == j else pl[a] != pr[b]
+            a, b, dot, before = a[k], b[k], dot[k], before[k]
+            found.append(pd.DataFrame({"by": key, "a": np.where(before, il[a], ir[b]), "b": np.where(before, ir[b], il[a]), "dot": dot}))
+        return pd.concat(found) if found else pd.DataFrame({"by": [], "a": [], "b": [], "dot": []})
+
+    kind, group = items.schema["id"].dataType.simpleString(), items.schema[by].dataType.simpleString() if by else "string"
+    pairs = tasks.groupBy("by", "i", "j").applyInPandas(meet, f"by {group}, a {kind}, b {kind}, dot double")
+    return pairs.withColumnRenamed("by", by) if by else pairs.drop("by")
 
 
 def similar_to(items: DataFrame, threshold: float = 0.75, bands=X.BANDS, compat: bool = False, by: str | None = None) -> DataFrame:
-    """Relations: src, dst, type, similarity, similarity_band, weight, provenance. compat: the threshold only lowers the floor."""
+    """Relations: src, dst, type, similarity, similarity_band, weight, provenance, and `by` if given. compat: the threshold only lowers
+    the floor."""
     least = min(low for _, low, _ in bands)
     floor = min(threshold, least) if compat else max(threshold, least)
     pairs = similar_pairs(items, floor, bands, by).withColumn("band", X.band_of(F.col("dot"), bands)).where("band IS NOT NULL")
     return pairs.select(
-        F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("SIMILAR_TO").alias("type"), F.round("dot", 5).alias("similarity"), F.col("band").alias("similarity_band"), X.weight_of(F.col("band"), bands).alias("weight"), F.lit("derived").alias("provenance")
-    )
+        *([by] if by else []), F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("SIMILAR_TO").alias("type"), F.round("dot", 5).alias("similarity"), F.col("band").alias("similarity_band"), X.weight_of(F.col("band"), bands).alias("weight"), F.lit("derived").alias("provenance")
+    )
 
 
 def band_counts(pairs: DataFrame, bands=X.BANDS) -> DataFrame:

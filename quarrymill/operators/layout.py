@@ -399,7 +399,7 @@ def places(boxes: list[str], transcription: str) -> list[int]:
     return [n for _, n in sorted(out)]
 
 
-def slide_passages(boxes: DataFrame, transcriptions: DataFrame, most: int = SLIDE_SPLIT) -> DataFrame:
+def slide_passages(boxes: DataFrame, transcriptions: DataFrame, most: int = SLIDE_SPLIT, given: DataFrame | None = None) -> DataFrame:
     """doc, page, part, text, regions of boxes (furniture left out) in the order of a transcription (doc, page, said): only the
     order comes from it, never words. A number joins the box after it; a passage is cut before it passes `most`."""
 
@@ -435,7 +435,7 @@ def slide_passages(boxes: DataFrame, transcriptions: DataFrame, most: int = SLID
         close()
         return pd.DataFrame(rows, columns=["doc", "page", "part", "text", "regions"])
 
-    kept = boxes.where(X.strip(F.coalesce("text", F.lit(""))) != "").join(deck_furniture(boxes).select("doc", "pos"), ["doc", "pos"], "left_anti")
+    kept = boxes.where(X.strip(F.coalesce("text", F.lit(""))) != "").join(deck_furniture(boxes, given).select("doc", "pos"), ["doc", "pos"], "left_anti")
     return kept.groupBy("doc", "page").cogroup(transcriptions.groupBy("doc", "page")).applyInPandas(page, f"doc string, page int, part int, text string, regions array<{REGION}>")
 
 
@@ -509,16 +509,44 @@ def markdown_tables(cells: DataFrame) -> DataFrame:
     return g.select("doc", "table_id", F.array_join(F.concat(F.array(F.get("r", 0)["line"], rule), F.slice(F.col("r.line"), 2, F.greatest(F.size("r"), F.lit(1)))), "\n").alias("text"))
 
 
+def sentence_tables(cells: DataFrame) -> DataFrame:
+    """doc, table_id, text: each cell beside the first column as "<row>, <column> = <value>.", columns by the last leading header row's
+    names, or by number. Tables of one column give their cells."""
+    w = W.partitionBy("doc", "table_id")
+    d = cells.withColumn("__head", F.max(F.when(F.col("header"), F.col("row"))).over(w)).withColumn("__wide", F.max("col").over(w))
+    row = W.partitionBy("doc", "table_id", "row")
+    column = W.partitionBy("doc", "table_id", "col")
+    d = d.withColumn("__row", F.max(F.when(F.col("col") == 0, X.strip(F.col("text")))).over(row)).withColumn("__name", F.max(F.when(F.col("header") & (F.col("row") == F.col("__head")), X.strip(F.col("text")))).over(column))
+    body = d.where(~F.col("header") & (X.strip(F.coalesce("text", F.lit(""))) != "") & ((F.col("col") > 0) | (F.col("__wide") == 0)))
+    name = F.when(F.coalesce("__name", F.lit("")) != "", F.col("__name")).otherwise(F.col("col").cast("string"))
+    said = F.when(F.col("__wide") == 0, X.strip(F.col("text"))).otherwise(F.concat(F.coalesce("__row", F.lit("")), F.lit(", "), name, F.lit(" = "), X.strip(F.col("text")), F.lit(".")))
+    g = body.groupBy("doc", "table_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", said.alias("s")))).alias("r"))
+    return g.select("doc", "table_id", F.array_join(F.transform("r", lambda x: x["s"]), " ").alias("text"))
+
+
+def written_tables(items: DataFrame, cells: DataFrame, style: str | None = None) -> DataFrame:
+    """Items whose tables have the text that their cells give, headers and row names put right first. Cells: doc, table_id (the pos of
+    the table's item), page, row, col, text, header. style: "markdown", or sentences."""
+    named = rows_named(name_columns(cells))
+    texts = (markdown_tables if style == "markdown" else sentence_tables)(named).select("doc", F.col("table_id").alias("pos"), F.col("text").alias("__t"))
+    return items.join(texts, ["doc", "pos"], "left").withColumn("text", F.coalesce("__t", "text")).select(*items.columns)
+
+
 # --- all passes -------------------------------------------------------------------------------------------------------
 
 
-def scan_layout(items: DataFrame, target_tokens: int = 200, slides: bool = False, transcriptions: DataFrame | None = None, ocr: bool = False, contents_ratio: float = 1.0) -> DataFrame:
-    """Layout items to chunks, the passes in their fixed order: repair, running headers, headings, chunks, pictures, lone
-    headings, bullets, super-parents, slides, roll-ups, over-size windows, stray glyphs of OCR."""
+def scan_layout(items: DataFrame, target_tokens: int = 200, slides: bool = False, transcriptions: DataFrame | None = None, ocr: bool = False, contents_ratio: float = 1.0, cells: DataFrame | None = None, tables: str | None = None, furniture: DataFrame | None = None) -> DataFrame:
+    """Layout items to chunks, the passes in their fixed order: repair, tables (cells, tables: see `written_tables`), furniture (doc,
+    page, text) that slides are said to have, running headers, headings, chunks, pictures, lone headings, bullets, super-parents,
+    slides, roll-ups, over-size windows, stray glyphs of OCR."""
     from .chunking import drop_blank, drop_contents
 
     columns = [c.split()[0] for c in ("doc, index, section_path, text, token_count, page_no, bbox, regions, kind").split(", ")]
     d = items.withColumn("text", X.repair(F.col("text")))
+    d = written_tables(d, cells, tables) if cells is not None else d
+    if slides and furniture is not None:
+        bare = deck_furniture(d.where("bbox IS NOT NULL"), furniture).select("doc", "pos", F.lit(True).alias("__f")).distinct()
+        d = d.join(bare, ["doc", "pos"], "left").withColumn("layer", F.when(F.col("__f"), "furniture").otherwise(F.col("layer"))).select(*items.columns)
     d = d if slides else drop_running_headers(d)
     chains = page_headings(d) if slides else None
     base = drop_blank(drop_contents(base_chunks(d, target_tokens), "labels", contents_ratio)).select(*columns)
@@ -529,9 +557,9 @@ def scan_layout(items: DataFrame, target_tokens: int = 200, slides: bool = False
     out = out.unionByName(tag(heading_chunks(d, base, slides), 2)).unionByName(tag(bullet_chunks(d), 3))
     out = out.unionByName(tag(super_parents(out.where("__pass = 0"), slides), 4))
     if slides:
-        boxes = d.where(~is_heading(F.col("label")))
+        boxes = d.where(~is_heading(F.col("label")) & ~F.col("layer").eqNullSafe("furniture"))
         if transcriptions is not None:
-            made = slide_passages(boxes, transcriptions)
+            made = slide_passages(boxes, transcriptions, given=furniture)
         else:
             made = card_chunks(boxes).withColumn("part", F.lit(0))
         path = made.join(chains, ["doc", "page"], "left").select("doc", F.col("part").alias("index"), X.path_of(slide_chain(F.col("headings"), F.col("aliases"), F.col("chapter"))).alias("section_path"), "text", X.tokens(F.col("text")).alias("token_count"), F.col("page").alias("page_no"), F.get("regions", 0)["bbox"].alias("bbox"), "regions", F.lit("text").alias("kind"))

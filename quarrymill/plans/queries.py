@@ -162,7 +162,7 @@ def mentions(spark, sf):
 
 @query(f"WITH {_ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, id ORDER BY confidence DESC, chunk, pos) AS n FROM items) SELECT doc, id, type, name, description, confidence FROM r WHERE n = 1")
 def entity_dedupe(spark, sf):
-    return extract.dedupe(_items(spark, sf))
+    return extract.dedupe(_items(spark, sf)).drop("chunk", "place")
 
 
 _REL = """rel AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, 'PART ' || (l_partkey % 50) AS f, 'part ' || (l_suppkey % 60) AS t FROM lineitem)"""

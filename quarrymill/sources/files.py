@@ -37,6 +37,34 @@ def replace_small(spark: SparkSession, path: str, text: str) -> None:
     spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(new, p, options)
 
 
+def create_small(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file that must not exist yet: written beside it, then renamed. False if another was there first."""
+    fs, p = _place(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}-{uuid.uuid4().hex[:12]}")
+    out = fs.create(new, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+    try:
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(new, p, options)
+    except Exception as e:
+        fs.delete(new, False)
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def remove_tree(spark: SparkSession, path: str) -> None:
+    fs, p = _place(spark, path)
+    fs.delete(p, True)
+
+
+def list_folders(spark: SparkSession, folder: str) -> list[str]:
+    fs, p = _place(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
 def list_small(spark: SparkSession, folder: str, suffix: str) -> list[str]:
     fs, p = _place(spark, folder)
     if not fs.exists(p):

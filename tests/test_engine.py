@@ -12,7 +12,7 @@ def pipeline():
 
 
 def engine(spark, tmp_path, **kw):
-    return Engine(spark, str(tmp_path / "e"), Providers(extract=dictionary_extractor({"org": ["ACME", "Initech"]}), **kw))
+    return Engine(spark, str(tmp_path / "e"), Providers(extract=dictionary_extractor({"org": ["ACME", "Initech"]}), **kw), buckets=2)
 
 
 def test_validation():
@@ -91,7 +91,7 @@ def test_custom_layer(spark, tmp_path):
     (folder / "mine.py").write_text('"""Counts chunks."""\n\ndef run(chunks, **_):\n    return {"digest": {"seen": chunks.count()}}\n')
     (folder / "_hidden.py").write_text("")
     (folder / "bad.py").write_text("x = 1\n")
-    e = Engine(spark, str(tmp_path / "e"), layers=str(folder))
+    e = Engine(spark, str(tmp_path / "e"), layers=str(folder), buckets=2)
     assert {x["name"] for x in e.layers() if x["kind"] == "custom"} == {"mine", "bad"}
     run = e.ingest(pipeline().custom("../layers/mine"), [Document("a", text="text")])
     assert run.ok and run.reports[0]["layers"][2]["digest"]["seen"] == 1

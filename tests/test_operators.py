@@ -235,7 +235,7 @@ def ingest(spark, store, docs, ents, links):
 
 
 def test_corpus(spark, tmp_path):
-    store = corpus.Corpus(spark, str(tmp_path / "c"))
+    store = corpus.Corpus(spark, str(tmp_path / "c"), buckets=2)
     first = ingest(spark, store, ["a"], ["x", "shared"], [("a", "x"), ("a", "shared")])
     assert first == {"chunks": 1, "entities": 4, "relations": 3}
     ingest(spark, store, ["b_1%"], ["shared"], [("b_1%", "shared")])
