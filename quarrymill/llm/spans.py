@@ -45,11 +45,16 @@ _ROWS = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64(
 # --- packed columns ---------------------------------------------------------------------------------------------------
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Values byte by byte: first bytes first. What is zero in all of them costs nothing when it is compressed."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
 def pack_columns(bucket, span, doc, start, n, flag) -> bytes:
-    """Rows in (doc, start) order as one compressed value."""
+    """Rows as one compressed value; (doc, start) order makes it small."""
     size = len(doc)
     doc_d, start_d = np.diff(doc, prepend=np.int64(0)), np.diff(start, prepend=np.int64(0))
-    raw = b"".join([size.to_bytes(8, "little"), bucket.tobytes(), span.tobytes(), doc_d.astype("<i8").tobytes(), start_d.astype("<i8").tobytes(), n.astype(np.uint8).tobytes(), flag.astype(np.uint8).tobytes()])
+    raw = b"".join([size.to_bytes(8, "little"), _planes(bucket), _planes(span), doc_d.astype("<i8").tobytes(), start_d.astype("<i8").tobytes(), n.astype(np.uint8).tobytes(), flag.astype(np.uint8).tobytes()])
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -59,6 +64,8 @@ def unpack_columns(blob: bytes) -> list[np.ndarray]:
     for kind in ("<u8", "<u8", "<i8", "<i8", "u1", "u1"):
         out.append(np.frombuffer(raw, kind, size, at))
         at += size * np.dtype(kind).itemsize
+    for i in (0, 1):
+        out[i] = np.ascontiguousarray(out[i].view(np.uint8).reshape(8, -1).T).reshape(-1).view("<u8")
     out[2], out[3] = np.cumsum(out[2]), np.cumsum(out[3])
     return out
 
@@ -97,13 +104,13 @@ _POWERS = [np.cumprod(np.full(1 << 16, 0xD6E8FEB86659FD93, np.uint64)), np.cumpr
 
 
 def rolled(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """A second hash, made another way (a polynomial), of the windows that begin at these places."""
+    """A second hash of 40 bits, made another way (a polynomial), of the windows that begin at these places."""
     while len(_POWERS[0]) < len(h):
         for i, p in enumerate(_POWERS):
             _POWERS[i] = np.concatenate([p, p * p[-1]])
     sums = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(mix(h) * _POWERS[0][: len(h)], out=sums[1:])
-    return mix((sums[at + length] - sums[at]) * _POWERS[1][at])
+    return mix((sums[at + length] - sums[at]) * _POWERS[1][at]) & ~np.uint64((1 << 24) - 1)
 
 
 def _least(key: np.ndarray, w: int) -> np.ndarray:

@@ -2,11 +2,13 @@
 
 Earlier means a smaller doc_id, or the same document and an earlier start. Strings are judged on the input.
 
-Suffixes matter to a depth of LENGTH bytes. A difference cover (cover.py) samples them, about one for 14 bytes. Each sampled suffix
-is ranked by names of bounded prefixes, computed where its text is: one of GRAM bytes, by which it goes to a suffix bucket, and one of
-all the windows that it stands for. A task sorts one bucket range at a time, so its memory is that of one range (spans.py). Of
-suffixes with equal names all but the first repeat. Long ties, suffixes that share a bucket's prefix and differ later, are settled for
-each window by itself. Only equality counts, so names order the suffixes of a bucket, not their bytes.
+Suffixes matter to a depth of LENGTH bytes, and only their equality does. A sample that covers them is ranked by names of bounded
+prefixes, computed where its text is: one of GRAM bytes, by which it goes to a suffix bucket, and one of all the windows that it
+stands for. A task sorts one bucket range at a time, so its memory is that of one range (spans.py). Of suffixes with equal names all
+but the first repeat. Long ties, suffixes that share a bucket's prefix and differ later, are settled for each window by itself.
+
+The sample is fixed by content (cover="content": about one place for 35 bytes) or a difference cover (cover="difference": cover.py,
+about one for 14 bytes). Both give the same bytes; the second needs more disk than the check tool allows (README).
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; very long texts are cut into overlapping blocks, which
 changes no result; null doc_ids come last in the order and are one document; rows that share a doc_id are versions of one document,
@@ -44,11 +46,11 @@ def without(data: bytes, spans: np.ndarray) -> tuple[int, int, int, str]:
     return len(data), int((spans[:, 1] - spans[:, 0]).sum()) if len(spans) else 0, len(spans), hashlib.sha256(b"".join(kept)).hexdigest()
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cover: str = "content") -> DataFrame:
     """doc_id and the intervals (lists of packed pairs) of its repeated bytes."""
     d = texts(docs)
     parts = 4 * width(d.sparkSession)
-    settled = staged(settle_runs(runs_of(d, hashed_bytes, length, gram, parts, True, white=WHITE), length, True), "byte-runs")
+    settled = staged(settle_runs(runs_of(d, hashed_bytes, length, gram, parts, True, white=WHITE if cover == "difference" else None), length, True), "byte-runs")
     asked = with_rows(d, by_document(settled, REQUESTS), "inner")
     rest = settle_windows(asked, hashed_bytes, length, parts, True)
     return by_document(settled.where(settled.kind == INTERVALS).unionByName(rest), INTERVALS)

@@ -68,7 +68,8 @@ def rows(df, n):
     return {r[0]: tuple(r[1 : n + 1]) for r in df.collect()}
 
 
-def test_bytes(docs):
+@pytest.mark.parametrize("cover_", ["content", "difference"])
+def test_bytes(docs, cover_):
     seen, want = set(), {}
     for d, t in PAIRS:
         b = (t or "").encode()
@@ -81,7 +82,7 @@ def test_bytes(docs):
         runs = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         want[d] = (len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
     d = texts(docs)
-    got = spans.removed(d, substrings.repeated_bytes(docs), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", substrings.without)
+    got = spans.removed(d, substrings.repeated_bytes(docs, cover=cover_), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", substrings.without)
     assert rows(got, 4) == want
 
 
@@ -118,7 +119,8 @@ def gone_bytes(texts_):
     return out
 
 
-def test_long_texts_and_texts_without_words(spark):
+@pytest.mark.parametrize("cover_", ["content", "difference"])
+def test_long_texts_and_texts_without_words(spark, cover_):
     """A text beyond the cut of 524,288 symbols that repeats itself and others, scripts without spaces, very long words."""
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 12)))
@@ -128,7 +130,7 @@ def test_long_texts_and_texts_without_words(spark):
     mixed = " ".join("".join(r.choice("xyz") for _ in range(r.choice([3, 60]))) for _ in range(60))
     found = [(0, long + long[300_000:300_700]), (1, long[524_200:524_500] + "|" + cjk), (2, "z" + cjk[50:400] + solid[:1000]), (3, solid[37:1500] + " " + mixed), (4, "a " + mixed[3:] + long[-150:])]
     d = make(spark, found).repartition(3)
-    got = {r[0]: spans.merge_pairs(spans.pairs(r[1]), 1 << 40) for r in substrings.repeated_bytes(d).collect()}
+    got = {r[0]: spans.merge_pairs(spans.pairs(r[1]), 1 << 40) for r in substrings.repeated_bytes(d, cover=cover_).collect()}
     assert len(found[0][1]) > 1_000_000
     for doc, cut in gone_bytes(found).items():
         mine = np.zeros(len(cut), bool)
