@@ -460,27 +460,34 @@ def name_columns(cells: DataFrame) -> DataFrame:
         return all(t.strip() and len(t.split()) <= 4 and not t.strip().translate(str.maketrans("", "", "., ")).isdigit() for t in texts)
 
     def walk(f: pd.DataFrame) -> pd.DataFrame:
+        names = ["doc", "table_id", "page", "row", "col", "text", "header"]
+        tables: dict[int, list[list]] = {}
+        for r in f.sort_values(["table_id", "row", "col"])[names].to_numpy().tolist():
+            tables.setdefault(r[1], []).append(r)
         out, before = [], None
-        for _, t in f.sort_values(["table_id", "row", "col"]).groupby("table_id", sort=True):
-            t = t.copy()
-            wide, page = t["col"].nunique(), t["page"].iloc[0]
-            if wide > 1 and not t["header"].any():
-                first = t[t["row"] == t["row"].min()]
-                if len(first) == wide and like(first["text"].fillna("").tolist()):
-                    t.loc[first.index, "header"] = True
-                elif before is not None and before[0] == wide and len(before[1]) and like(before[1]["text"].fillna("").tolist()) and 0 <= page - before[2] <= 1:
-                    head = before[1].copy()
-                    head[["table_id", "page", "header"]] = [t["table_id"].iloc[0], page, True]
-                    t["row"] += head["row"].nunique()
-                    t = pd.concat([head, t])
-            leading = 0
-            for _, r in t.groupby("row", sort=True):
-                if not r["header"].any():
+        for number in sorted(tables):
+            t = tables[number]
+            wide, page = len({r[4] for r in t}), t[0][2]
+            if wide > 1 and not any(r[6] for r in t):
+                first = [r for r in t if r[3] == t[0][3]]
+                if len(first) == wide and like([r[5] or "" for r in first]):
+                    for r in first:
+                        r[6] = True
+                elif before is not None and before[0] == wide and before[1] and like([r[5] or "" for r in before[1]]) and 0 <= page - before[2] <= 1:
+                    head = [[r[0], number, page, r[3], r[4], r[5], True] for r in before[1]]
+                    many = len({r[3] for r in head})
+                    t = head + [[*r[:3], r[3] + many, *r[4:]] for r in t]
+            rows: dict[int, list[list]] = {}
+            for r in t:
+                rows.setdefault(r[3], []).append(r)
+            leading: list[list] = []
+            for k in sorted(rows):
+                if not any(r[6] for r in rows[k]):
                     break
-                leading += 1
-            before = (wide, t[t["row"] < t["row"].min() + leading], page)
-            out.append(t)
-        return pd.concat(out)[["doc", "table_id", "page", "row", "col", "text", "header"]]
+                leading += rows[k]
+            before = (wide, leading, page)
+            out += t
+        return pd.DataFrame(out, columns=names)
 
     return cells.groupBy("doc").applyInPandas(walk, "doc string, table_id int, page int, row int, col int, text string, header boolean")
 

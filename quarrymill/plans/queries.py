@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking, corpus, extract, graph, layout, quality
+from ..operators.store import shared_folder
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,16 +53,70 @@ def chunk_ids(spark, sf):
     return chunking.with_ids(chunking.window_chunks(documents(spark, sf))).select("chunk_id", "cite_hex", "token_count", F.length("text").alias("n_chars"))
 
 
-@query(f"WITH {_WINDOWS} SELECT CAST(count(*) AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS with_regions, CAST(1 AS BIGINT) AS section_paths FROM w")
+@query("SELECT CAST(count(*) AS BIGINT) AS chunks, CAST(count(*) FILTER (l_linestatus = 'F') AS BIGINT) AS with_regions, CAST(count(DISTINCT l_returnflag || ' > ' || l_suppkey) AS BIGINT) AS section_paths FROM lineitem")
 def parse_digest(spark, sf):
-    return chunking.digest(chunking.window_chunks(documents(spark, sf)).withColumn("section_path", F.lit(X.ROOT)))
+    region = F.struct(F.lit(1).alias("page_no"))
+    li = table(spark, sf, "lineitem").select(F.concat("l_returnflag", F.lit(" > "), F.col("l_suppkey").cast("string")).alias("section_path"), F.when(F.col("l_linestatus") == "F", F.array(region)).otherwise(F.slice(F.array(region), 1, 0)).alias("regions"))
+    return chunking.digest(li)
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS doc, 0 AS index, '(root)' AS section_path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, CAST(greatest(1, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) // 4) AS INTEGER) AS token_count FROM documents
-WHERE text IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''""")
+_PROSE = """ln AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
+pg AS (SELECT doc, i, p % 3 = 0 AS head, CAST(p % 2 + 1 AS INTEGER) AS level, 'H' || p AS name, repeat('w' || s || ' ', q) AS body FROM ln)"""
+
+
+def _prose(spark, sf) -> DataFrame:
+    """Orders as Markdown: lines are headings of two levels, each with a paragraph, or paragraphs."""
+    li = table(spark, sf, "lineitem")
+    p = F.col("l_partkey")
+    head = F.when(p % 3 == 0, F.concat(F.repeat(F.lit("#"), (p % 2 + 1).cast("int")), F.lit(" H"), p.cast("string"), F.lit("\n\n"))).otherwise(F.lit(""))
+    line = F.concat(head, F.rtrim(F.repeat(F.concat(F.lit("w"), F.col("l_suppkey").cast("string"), F.lit(" ")), F.col("l_quantity").cast("int"))))
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line"))))
+    return li.groupBy("l_orderkey").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n\n").alias("text")).select(F.col("l_orderkey").cast("string").alias("doc"), "text")
+
+
+@query(f"""WITH RECURSIVE {_PROSE}, hd AS (SELECT *, max(CASE WHEN head THEN i END) OVER (PARTITION BY doc ORDER BY i) AS own, max(CASE WHEN head AND level = 1 THEN i END) OVER (PARTITION BY doc ORDER BY i) AS top FROM pg),
+nm AS (SELECT d.doc, d.i, coalesce(d.own, 0) AS own, CASE WHEN d.own IS NULL THEN '(root)' WHEN d.top IS NULL OR d.top = d.own THEN h.name ELSE t.name || ' > ' || h.name END AS path, trim(d.body) AS body FROM hd d LEFT JOIN pg h ON h.doc = d.doc AND h.i = d.own LEFT JOIN pg t ON t.doc = d.doc AND t.i = d.top),
+sec AS (SELECT *, row_number() OVER (PARTITION BY doc, own ORDER BY i) AS k, greatest(1, length(body) // 4) AS n FROM nm),
+ful AS (SELECT doc, own, greatest(1, length(string_agg(body, chr(10) || chr(10) ORDER BY i)) // 4) AS total FROM sec GROUP BY doc, own),
+pk AS (SELECT doc, own, path, i, k, n, body, CAST(0 AS BIGINT) AS g, CAST(n AS BIGINT) AS size FROM sec WHERE k = 1
+ UNION ALL SELECT sec.doc, sec.own, sec.path, sec.i, sec.k, sec.n, sec.body, CASE WHEN pk.size + sec.n > 60 AND ful.total > 60 THEN pk.g + 1 ELSE pk.g END, CASE WHEN pk.size + sec.n > 60 AND ful.total > 60 THEN sec.n ELSE pk.size + sec.n END
+ FROM pk JOIN sec ON sec.doc = pk.doc AND sec.own = pk.own AND sec.k = pk.k + 1 JOIN ful ON ful.doc = sec.doc AND ful.own = sec.own),
+ch AS (SELECT doc, own, g, any_value(path) AS path, string_agg(body, chr(10) || chr(10) ORDER BY i) AS body FROM pk GROUP BY doc, own, g),
+tx AS (SELECT doc, own, g, path, CASE WHEN path = '(root)' THEN body ELSE path || chr(10) || body END AS text FROM ch)
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY own, g) - 1 AS INTEGER) AS index, path AS section_path, text, CAST(greatest(1, length(text) // 4) AS INTEGER) AS token_count FROM tx""")
 def plain_chunks(spark, sf):
+    """Headings of two levels, paragraphs put together up to 60 tokens, and paragraphs over it."""
+    return chunking.plain_chunks(_prose(spark, sf), target=60)
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc, 0 AS index, '(root)' AS section_path, CAST(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS INTEGER) AS n_chars FROM documents
+WHERE text IS NOT NULL AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''""")
+def whole_documents(spark, sf):
     """Documents have no headings and no blank lines, so each is one chunk at the root."""
-    return chunking.plain_chunks(documents(spark, sf))
+    return chunking.plain_chunks(documents(spark, sf)).select("doc", "index", "section_path", F.length("text").alias("n_chars"))
+
+
+@query(f"WITH {_WINDOWS} SELECT doc, CAST(idx AS INTEGER) AS index, text, CAST(CASE WHEN count(*) OVER (PARTITION BY doc) > 1 THEN length(text) // 4 ELSE greatest(1, length(text) // 4) END AS INTEGER) AS token_count FROM w")
+def split_chunks(spark, sf):
+    """Documents as one chunk each, those over the limit cut into windows."""
+    d = documents(spark, sf).where(X.strip(F.coalesce("text", F.lit(""))) != "")
+    whole = d.select("doc", F.lit(0).alias("index"), "text", X.tokens(F.col("text")).alias("token_count"))
+    return chunking.drop_blank(chunking.split_oversized(whole)).select("doc", "index", "text", "token_count")
+
+
+@query("SELECT l_orderkey AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber) - 1 AS INTEGER) AS index, l_partkey FROM lineitem")
+def renumbered(spark, sf):
+    li = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "doc")
+    return chunking.renumber(li, [F.col(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber")]).select("doc", "index", "l_partkey")
+
+
+@query("""WITH c AS (SELECT l_orderkey AS doc, l_returnflag AS path, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS listed, string_agg(CASE WHEN l_suppkey % 7 = 0 THEN ' ' ELSE 'x' END, '') AS t FROM lineitem GROUP BY l_orderkey, l_returnflag)
+SELECT doc, path FROM c WHERE NOT (listed >= 0.5 * n) AND trim(t) <> ''""")
+def kept_chunks(spark, sf):
+    """Chunks that aren't blank and aren't lines of a contents list by half or more."""
+    li = table(spark, sf, "lineitem")
+    c = li.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_returnflag").alias("path")).agg(F.collect_list(F.when(F.col("l_linestatus") == "F", "document_index").otherwise("text")).alias("labels"), F.array_join(F.collect_list(F.when(F.col("l_suppkey") % 7 == 0, " ").otherwise("x")), "").alias("text"))
+    return chunking.drop_blank(chunking.drop_contents(c, ratio=0.5)).select("doc", "path")
 
 
 @query("""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS doc, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
@@ -117,12 +173,29 @@ def scalar_text(spark, sf):
 _H1 = "replace(replace(replace(replace(replace(regexp_replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
 
 
-@query()
+#: Blocks of pages in SQL: what is silent goes, tags and text become tokens, and each tag that begins or ends a block cuts.
+_STARTS = "html|h[1-6]|li|pre|code|figcaption|caption|nav|p|div|article|section|main|body|blockquote|footer|header|aside".replace("html|", "")
+_CLEAN = "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<head>.*?</head>|<!DOCTYPE[^>]*>', '', 'g')"
+_UNESCAPED = "regexp_replace(replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '&amp$', '&')"
+_BLOCKS = f"""tok AS (SELECT url AS doc, unnest(t) AS x, unnest(range(len(t))) AS i FROM (SELECT url, regexp_extract_all({_CLEAN}, '<[^>]*>|[^<]+') AS t FROM pages)),
+cut AS (SELECT doc, x, i, regexp_matches(x, '^</?({_STARTS})[ >]') AS cuts, regexp_extract(x, '^<({_STARTS})[ >]', 1) AS opens FROM tok),
+grp AS (SELECT doc, x, i, opens, cuts, sum(CAST(cuts AS INTEGER)) OVER (PARTITION BY doc ORDER BY i) AS g FROM cut),
+blk AS (SELECT doc, g, max(CASE WHEN cuts THEN opens END) AS tag, trim(regexp_replace(coalesce(string_agg(CASE WHEN x = '<br>' THEN ' ' WHEN x NOT LIKE '<%' THEN {_UNESCAPED} END, '' ORDER BY i), ''), '[\\s\\x{{00A0}}]+', ' ', 'g')) AS text FROM grp GROUP BY doc, g),
+hb AS (SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY g) - 1 AS INTEGER) AS pos, CASE WHEN tag = 'h1' THEN 'title' WHEN regexp_matches(tag, '^h[2-6]$') THEN 'section_header' WHEN tag = 'li' THEN 'list_item' WHEN tag = 'nav' THEN 'document_index'
+  WHEN tag IN ('footer', 'header', 'aside') THEN 'page_furniture' WHEN tag IN ('pre', 'code') THEN 'code' WHEN tag IN ('figcaption', 'caption') THEN 'caption' ELSE 'text' END AS label,
+  CAST(CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN substr(tag, 2) ELSE '0' END AS INTEGER) AS level, text FROM blk WHERE text <> ''),
+hp AS (SELECT *, coalesce(last_value(CASE WHEN label = 'title' THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '(root)') AS section_path FROM hb)"""
+
+
+_KIND = "CASE " + " ".join(f"WHEN label = '{k}' THEN '{v}'" for k, v in X.KINDS.items()) + " ELSE 'other' END"
+
+
+@query(f"WITH {_BLOCKS} SELECT doc, pos, label, level, text FROM hb")
 def html_blocks(spark, sf):
     return readers.html_blocks(table(spark, sf, "pages"))
 
 
-@query()
+@query(f"WITH {_BLOCKS} SELECT doc, pos, label, section_path FROM hp")
 def section_path(spark, sf):
     return readers.section_paths(readers.html_blocks(table(spark, sf, "pages"))).select("doc", "pos", "label", "section_path")
 
@@ -132,7 +205,8 @@ def page_titles(spark, sf):
     return readers.html_blocks(table(spark, sf, "pages")).where("label = 'title'").select("doc", "text")
 
 
-@query()
+@query(f"""WITH {_BLOCKS} SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY pos) - 1 AS INTEGER) AS index, section_path, text, CAST(len(string_split(text, ' ')) AS INTEGER) AS token_count,
+  {_KIND} AS kind FROM hp""")
 def structural_chunks(spark, sf):
     return readers.parse(table(spark, sf, "pages").select(F.col("url").alias("doc"), F.col("html").alias("text")), "structural")
 
@@ -143,6 +217,25 @@ def structural_entities(spark, sf):
     return extract.structural_entities(chunks, ["topic"])[0].select("doc", "id", "name")
 
 
+_LADDER = """li AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS pos, l_partkey, l_suppkey FROM lineitem),
+bl AS (SELECT doc, pos, CASE WHEN l_suppkey % 3 = 0 THEN 'text' ELSE 'section_header' END AS label, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE CAST(l_partkey % 4 + 1 AS INTEGER) END AS level, 'T' || l_partkey AS text FROM li)"""
+
+
+def _ladder(spark, sf) -> DataFrame:
+    """Lines of orders as blocks: headings of four levels, and text."""
+    li = table(spark, sf, "lineitem")
+    head = F.col("l_suppkey") % 3 != 0
+    pos = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return li.select(F.col("l_orderkey").cast("string").alias("doc"), pos.alias("pos"), F.when(head, "section_header").otherwise("text").alias("label"), F.when(head, F.col("l_partkey") % 4 + 1).otherwise(0).cast("int").alias("level"), F.concat(F.lit("T"), F.col("l_partkey").cast("string")).alias("text"))
+
+
+@query(f"""WITH {_LADDER}, up AS (SELECT b.doc, b.pos, h.pos AS hpos, h.text FROM bl b JOIN bl h ON h.doc = b.doc AND h.pos <= b.pos AND h.level > 0
+  AND NOT EXISTS (SELECT 1 FROM bl x WHERE x.doc = b.doc AND x.pos > h.pos AND x.pos <= b.pos AND x.level > 0 AND x.level <= h.level))
+SELECT bl.doc, bl.pos, coalesce(string_agg(up.text, ' > ' ORDER BY hpos), '(root)') AS section_path FROM bl LEFT JOIN up USING (doc, pos) GROUP BY bl.doc, bl.pos""")
+def heading_stack(spark, sf):
+    return readers.section_paths(_ladder(spark, sf)).select("doc", "pos", "section_path")
+
+
 # --- extraction -------------------------------------------------------------------------------------------------------
 
 _ITEMS = """items AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, CAST(l_linenumber AS INTEGER) AS chunk, CAST(l_partkey * 1000 + l_suppkey AS INTEGER) AS pos, 'part' AS type,
@@ -219,9 +312,9 @@ def edge_remap(spark, sf):
     return extract.reconcile(_entities(spark, sf), _edges(spark, sf))[1]
 
 
-@query(f"WITH {_ENTS} SELECT type, CAST(count(*) AS BIGINT) AS n FROM ents GROUP BY type")
+@query(f"WITH {_ENTS}, {_EDGES} SELECT 'entity' AS kind, type, CAST(count(*) AS BIGINT) AS n FROM ents GROUP BY type UNION ALL SELECT 'relation', type, CAST(count(*) AS BIGINT) FROM e0 GROUP BY type")
 def layer_digest(spark, sf):
-    return _entities(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+    return extract.layer_digests(_entities(spark, sf), _edges(spark, sf))
 
 
 @query("""SELECT CAST(d.doc_id AS VARCHAR) AS doc, 'c' AS src, CAST(quality AS INTEGER) AS quality, CAST(toxic AS DOUBLE) AS toxic FROM labels d""")
@@ -262,33 +355,54 @@ def vector_top_k(spark, sf):
     return graph.nearest(v.select(F.col("vec_id").alias("id"), "embedding"), v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding"), 10).select("query", "id", "rank")
 
 
-_G = "g AS (SELECT DISTINCT 'n' || c_nationkey AS src, 's' || c_mktsegment AS dst FROM customer UNION SELECT DISTINCT 's' || c_mktsegment, 'n' || (c_nationkey // 5) FROM customer)"
+_LINKS = "g AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'n' || n_nationkey, 'n' || (n_nationkey * 7 % 25) FROM nation)"
+_ROUNDS = ", ".join(
+    f"r{i} AS MATERIALIZED (SELECT v, 0.15 / n + 0.85 * (coalesce(part, 0.0) + (SELECT coalesce(sum(x), 0.0) FROM r{i - 1} WHERE v NOT IN (SELECT src FROM dg)) / n) AS x FROM nd CROSS JOIN nn LEFT JOIN (SELECT dst, sum(x / d) AS part FROM g JOIN dg USING (src) JOIN r{i - 1} ON v = src GROUP BY dst) ON dst = v)" for i in range(1, 21)
+)
 
 
-def _small_graph(spark, sf) -> DataFrame:
-    c = table(spark, sf, "customer")
-    n, s = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("s"), F.col("c_mktsegment"))
-    return c.select(n.alias("src"), s.alias("dst")).union(c.select(s, F.concat(F.lit("n"), F.floor(F.col("c_nationkey") / 5).cast("string")))).distinct()
+def _links(spark, sf) -> DataFrame:
+    """Orders to customers to nations to regions, and nations to each other: a graph that grows with the data."""
+    edge = lambda t, s, a, d, b: table(spark, sf, t).select(F.concat(F.lit(s), F.col(a).cast("string")).alias("src"), F.concat(F.lit(d), b.cast("string")).alias("dst"))
+    n = F.col("n_nationkey")
+    return edge("orders", "o", "o_orderkey", "c", F.col("o_custkey")).union(edge("customer", "c", "c_custkey", "n", F.col("c_nationkey"))).union(edge("nation", "n", "n_nationkey", "r", F.col("n_regionkey"))).union(edge("nation", "n", "n_nationkey", "n", n * 7 % 25))
 
 
-@query(f"""WITH RECURSIVE {_G}, nodes AS (SELECT src AS v FROM g UNION SELECT dst FROM g), n AS (SELECT count(*) AS n FROM nodes), deg AS (SELECT src, count(*) AS d FROM g GROUP BY src),
-m AS (SELECT nodes.v, list(struct_pack(s := g.src, d := deg.d)) FILTER (g.src IS NOT NULL) AS ins FROM nodes LEFT JOIN g ON g.dst = nodes.v LEFT JOIN deg ON deg.src = g.src GROUP BY nodes.v),
-r AS (SELECT 0 AS i, (SELECT map_from_entries(list(struct_pack(k := v, val := 1.0::DOUBLE / n))) FROM nodes, n) AS rank
- UNION ALL SELECT i + 1, (SELECT map_from_entries(list(struct_pack(k := v, val := 0.15 / n + 0.85 * (coalesce(list_sum(list_transform(ins, lambda x: rank[x.s] / x.d)), 0.0) + coalesce((SELECT sum(rank[o.v]) FROM nodes o WHERE o.v NOT IN (SELECT src FROM g)), 0.0) / n)))) FROM m, n) FROM r WHERE i < 20)
-SELECT v AS node, round(rank[v], 9) AS pagerank FROM r, nodes WHERE i = 20""")
+@query(f"""WITH {_LINKS}, nd AS MATERIALIZED (SELECT src AS v FROM g UNION SELECT dst FROM g), nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nd), dg AS MATERIALIZED (SELECT src, count(*) AS d FROM g GROUP BY src),
+r0 AS MATERIALIZED (SELECT v, 1.0 / n AS x FROM nd, nn), {_ROUNDS} SELECT v AS node, round(x * 1000000, 4) AS millionths FROM r20""")
 def pagerank(spark, sf):
-    return graph.pagerank(_small_graph(spark, sf)).select("node", F.round("pagerank", 9).alias("pagerank"))
+    return graph.pagerank(_links(spark, sf)).select("node", F.round(F.col("pagerank") * 1000000, 4).alias("millionths"))
 
 
 @query()
 def communities(spark, sf):
+    """Greedy moves in a fixed order are beyond SQL: the tests hold them against a plain implementation."""
     pairs = graph.similar_to(_vectors(spark, sf), 0.35, _OWN_BANDS)
     return graph.louvain(pairs.select("src", "dst", "weight"))
 
 
-@query()
+_GROUPS = "gr AS (SELECT 'c' || c_custkey AS node, c_nationkey AS community FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_nationkey <> 3)"
+
+
+def _grouped(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING' OR c_nationkey <> 3")
+    return c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_nationkey").cast("long").alias("community"))
+
+
+@query(f"WITH {_GROUPS}, s AS (SELECT community, count(*) AS n FROM gr GROUP BY community) SELECT CAST((SELECT count(*) FROM s) AS BIGINT) AS communities, CAST((SELECT count(*) FROM s WHERE n = 1) AS BIGINT) AS singletons, (SELECT string_agg(n, ',' ORDER BY n DESC) FROM (SELECT n FROM s ORDER BY n DESC LIMIT 10)) AS sizes")
 def community_digest(spark, sf):
-    return graph.community_digest(communities(spark, sf))
+    return graph.community_digest(_grouped(spark, sf)).select("communities", "singletons", F.array_join("sizes", ",").alias("sizes"))
+
+
+@query(f"""WITH {_GROUPS}, m AS (SELECT gr.* FROM gr JOIN (SELECT DISTINCT 'c' || o_custkey AS node FROM orders) USING (node)), big AS (SELECT community FROM m GROUP BY community HAVING count(*) >= 2),
+s AS (SELECT community, 'about ' || community AS summary FROM big WHERE community % 4 <> 0)
+SELECT node AS src, 'community:' || community AS dst, 'member_of' AS type FROM m UNION ALL SELECT 'community_summary:community ' || community, 'community:' || community, 'summarizes' FROM s""")
+def community_edges(spark, sf):
+    """Communities of customers with orders; every fourth has a blank summary and gets none."""
+    own = _grouped(spark, sf)
+    entities = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id")).distinct()
+    said = own.select("community").distinct().select("community", F.lit("").alias("title"), F.when(F.col("community") % 4 == 0, " ").otherwise(F.concat(F.lit("about "), F.col("community").cast("string"))).alias("summary"))
+    return graph.community_graph(own, entities, said)[1].select("src", "dst", "type")
 
 
 # --- corpus -----------------------------------------------------------------------------------------------------------
@@ -297,35 +411,50 @@ def community_digest(spark, sf):
 @query("""WITH e AS (SELECT user_id % 500 AS u, event_id, event_type, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events)
 SELECT 'user:' || u AS id, arg_max(event_type, event_id) AS label, arg_max(value, event_id) FILTER (value IS NOT NULL) AS score FROM e GROUP BY u""")
 def entity_upsert(spark, sf):
+    """All events twice: their scores first, then their labels, which must not undo the scores."""
     e = table(spark, sf, "events").select(F.concat(F.lit("user:"), (F.col("user_id") % 500).cast("string")).alias("id"), F.col("event_type").alias("label"), F.when(F.col("event_id") % 3 == 0, None).otherwise(F.col("value")).alias("score"), "event_id")
-    old = e.where("label < 'm'")
-    kept = corpus.upsert(spark.createDataFrame([], old.drop("event_id").schema), old, order="event_id")
-    # the second batch names everything once more, so it decides; what it leaves null stays from the first
-    return corpus.upsert(kept, e, order="event_id").select("id", "label", "score")
-
+    first = corpus.upsert(spark.createDataFrame([], e.drop("event_id").schema), e.withColumn("label", F.lit(None).cast("string")), order="event_id")
+    return corpus.upsert(first, e.withColumn("score", F.lit(None).cast("double")), order="event_id").select("id", "label", "score")
 
-_MENT = "me AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, 'part:' || l_partkey AS dst, l_quantity FROM lineitem), th AS (SELECT 'part:' || p_partkey AS id FROM part)"
 
-
-def _corpus(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rel = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc"), F.lit("c").alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("mentions").alias("type"), "l_quantity")
+@query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+def orphan_gc(spark, sf):
+    """Lines mention their part if they are large; else they have another relation to it, which keeps nothing alive."""
+    kind = F.when(F.col("l_quantity") >= 49, "mentions").otherwise("lists")
+    rel = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc"), F.lit("c").alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"), kind.alias("type"))
     ents = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("part").alias("type"))
-    return ents, rel
+    return corpus.orphans(ents, rel)
 
 
-@query(f"WITH {_MENT} SELECT id FROM th WHERE id NOT IN (SELECT dst FROM me WHERE l_quantity >= 49)")
-def orphan_gc(spark, sf):
-    ents, rel = _corpus(spark, sf)
-    return corpus.orphans(ents, rel.where("l_quantity >= 49"))
+_KEPT = "d AS (SELECT CAST(doc_id AS VARCHAR) AS doc FROM documents WHERE lang = 'de')"
 
 
-@query(f"WITH {_WINDOWS} SELECT doc, CAST(count(*) AS BIGINT) AS chunks_removed FROM w WHERE doc IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'de') GROUP BY doc")
+@query(f"""WITH {_WINDOWS}, {_KEPT}, k AS (SELECT doc, idx, 'markdown_chunk:' || substr(sha1(doc || '#' || idx), 1, 12) AS id FROM w WHERE doc NOT IN (SELECT doc FROM d))
+SELECT 'chunks' AS "table", doc, doc || '#' || idx AS id FROM k UNION ALL SELECT 'entities', doc, id FROM k UNION ALL SELECT DISTINCT 'entities', doc, 'markdown_doc:' || doc FROM k UNION ALL SELECT 'relates', doc, id FROM k
+UNION ALL SELECT 'removed', doc, CAST(count(*) AS VARCHAR) FROM w WHERE doc IN (SELECT doc FROM d) GROUP BY doc""")
 def replace_document(spark, sf):
-    d = documents(spark, sf)
-    rows = corpus.chunk_rows(chunking.window_chunks(d).withColumn("section_path", F.lit(X.ROOT)))
+    """What is left in each table when the German documents go, and how many chunks of each went."""
+    rows = corpus.chunk_rows(chunking.window_chunks(documents(spark, sf)).withColumn("section_path", F.lit(X.ROOT)))
     ents, rels = corpus.structural_rows(rows, "corpus")
     gone = readers.table_documents(table(spark, sf, "documents").where("lang = 'de'"), "doc_id").where(X.strip(F.coalesce("text", F.lit(""))) != "")
-    return corpus.remove_documents({"chunks": rows, "entities": ents, "relates": rels}, gone)[1]
+    left, counts = corpus.remove_documents({"chunks": rows, "entities": ents, "relates": rels}, gone)
+    own = lambda t, d, doc, i: d.select(F.lit(t).alias("table"), F.col(doc).alias("doc"), F.col(i).cast("string").alias("id"))
+    return own("chunks", left["chunks"], "doc", "chunk_id").unionByName(own("entities", left["entities"], "doc_path", "id")).unionByName(own("relates", left["relates"], "doc", "dst")).unionByName(own("removed", counts, "doc", "chunks_removed"))
+
+
+@query(f"""WITH {_WINDOWS}, {_KEPT} SELECT doc, CAST(count(*) AS BIGINT) AS chunks, CAST(count(*) AS BIGINT) AS edges FROM w WHERE doc NOT IN (SELECT doc FROM d) GROUP BY doc""")
+def corpus_commit(spark, sf):
+    """A corpus that takes all documents in one commit and loses the German ones in a second: chunks and edges of each document left."""
+    store = corpus.Corpus(spark, f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex[:12]}", buckets=4)
+    d = documents(spark, sf)
+    chunks = chunking.window_chunks(d).withColumn("section_path", F.lit(X.ROOT))
+    none_e = spark.createDataFrame([], "doc string, id string, type string, name string, description string, confidence double")
+    none_r = spark.createDataFrame([], "doc string, src string, dst string, type string")
+    store.commit(d.select("doc"), chunks, none_e, none_r, "p")
+    store.remove(readers.table_documents(table(spark, sf, "documents").where("lang = 'de'"), "doc_id").select("doc"))
+    t = store.tables()
+    edges = t["relates"].groupBy("doc").agg(F.count("*").alias("edges"))
+    return t["chunks"].groupBy("doc").agg(F.count("*").alias("chunks")).join(edges, "doc").select("doc", "chunks", "edges")
 
 
 @query(f"""WITH {_WINDOWS}, o AS (SELECT doc, 'markdown_doc:' || doc AS src, 'markdown_chunk:' || substr(sha1(doc || '#' || idx), 1, 12) AS dst FROM w) SELECT doc, src, dst, 'chunked_into' AS type FROM o""")
@@ -344,9 +473,14 @@ def run_totals(spark, sf):
 @query("""WITH r AS (SELECT 'run' || (user_id % 200) AS run_id, event_type AS state, ts, event_id, row_number() OVER (PARTITION BY user_id % 200 ORDER BY event_id DESC) AS n FROM events)
 SELECT run_id, state, event_id AS version FROM r WHERE n = 1 ORDER BY event_id DESC LIMIT 50""")
 def list_runs(spark, sf):
-    """The newest 50 runs (a report of that length) of a log of versions."""
+    """The newest 50 runs (a report of that length) of a store that holds the last version of each, 200 at most."""
+    from .engine import Run, RunStore
+
     e = table(spark, sf, "events").select(F.concat(F.lit("run"), (F.col("user_id") % 200).cast("string")).alias("run_id"), F.struct(F.col("event_id").alias("version"), F.col("event_type").alias("state")).alias("v"))
-    return e.groupBy("run_id").agg(F.max("v").alias("v")).select("run_id", "v.state", "v.version").orderBy(F.desc("version")).limit(50)
+    store = RunStore(spark, f"{shared_folder(spark)}/runs-{uuid.uuid4().hex[:12]}")
+    for r in e.groupBy("run_id").agg(F.max("v").alias("v")).collect():
+        store.save(Run(r["run_id"], {}, [], state=r["v"]["state"], created_at=f"{r['v']['version']:012d}"))
+    return spark.createDataFrame([(r.run_id, r.state, int(r.created_at)) for r in store.list(limit=50)], "run_id string, state string, version long")
 
 
 # --- layout -----------------------------------------------------------------------------------------------------------
@@ -365,19 +499,108 @@ def layout_chunks(spark, sf):
     return layout.scan_layout(_layout_items(spark, sf)).select("doc", "index", "section_path", "text", "token_count", "page_no", "kind")
 
 
-@query()
+@query(f"""WITH {_BLOCKS}, b AS (SELECT *, coalesce(last_value(CASE WHEN label = 'title' THEN text END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '(root)') AS path FROM hb)
+SELECT doc, pos AS index, path AS section_path, CASE WHEN path = '(root)' THEN '' ELSE path || chr(10) END || '- ' || text AS text, CAST(pos // 10 + 1 AS INTEGER) AS page_no FROM b WHERE label = 'list_item'""")
 def bullets(spark, sf):
     return layout.bullet_chunks(_layout_items(spark, sf)).select("doc", "index", "section_path", "text", "page_no")
 
 
-@query()
+_OUTLINE = """it AS (SELECT CAST(l_orderkey // 10 AS VARCHAR) AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey // 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS pos, l_suppkey % 5 < 3 AS head, CASE WHEN l_partkey % 9 = 0 THEN 'TOP ' || l_partkey ELSE 'Part ' || l_partkey END AS text, l_partkey % 9 = 0 AS caps, repeat('x', CAST(l_quantity AS INTEGER)) AS body FROM lineitem)"""
+
+
+def _outline(spark, sf) -> DataFrame:
+    """Lines of ten orders as layout items on one page without boxes: headings, some in capitals, and texts."""
+    li = table(spark, sf, "lineitem").withColumn("d", F.floor(F.col("l_orderkey") / 10))
+    pos = F.row_number().over(W.partitionBy("d").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    head = F.col("l_suppkey") % 5 < 3
+    name = F.concat(F.when(F.col("l_partkey") % 9 == 0, "TOP ").otherwise("Part "), F.col("l_partkey").cast("string"))
+    return li.select(
+        F.col("d").cast("string").alias("doc"), pos.alias("pos"), F.when(head, "section_header").otherwise("text").alias("label"), F.lit(1).alias("level"), F.when(head, name).otherwise(F.repeat(F.lit("x"), F.col("l_quantity").cast("int"))).alias("text"),
+        F.lit(1).alias("page"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(100.0).alias("page_height"), F.lit("body").alias("layer"), F.lit(None).cast("int").alias("parent"),
+    )
+
+
+#: A heading right before a heading is a container; it covers headings up to the next container or the next in capitals.
+_OVER = """h AS (SELECT *, coalesce(lead(head) OVER (PARTITION BY doc ORDER BY pos), false) AS holds FROM it), k AS (SELECT doc, pos, text, caps, holds FROM h WHERE head),
+ends AS (SELECT c.doc, c.pos, c.text, coalesce(min(n.pos), 1000000) AS until FROM k c LEFT JOIN k n ON n.doc = c.doc AND n.pos > c.pos AND (n.holds OR n.caps) WHERE c.holds GROUP BY c.doc, c.pos, c.text),
+anc AS (SELECT k.doc, k.pos, k.text, coalesce(string_agg(e.text, ' > ' ORDER BY e.pos) FILTER (e.text IS NOT NULL), '') AS over_ FROM k LEFT JOIN ends e ON e.doc = k.doc AND e.pos < k.pos AND k.pos < e.until AND e.text <> k.text GROUP BY k.doc, k.pos, k.text)"""
+
+
+@query(f"WITH {_OUTLINE}, {_OVER} SELECT doc, pos, text AS heading, over_ AS ancestors FROM anc")
 def heading_ancestry(spark, sf):
-    return layout.ancestry(_layout_items(spark, sf))
+    return layout.ancestry(_outline(spark, sf)).select("doc", "pos", "heading", F.array_join("ancestors", " > ").alias("ancestors"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_OUTLINE}, {_OVER}, b0 AS (SELECT h.doc, h.pos, h.body, coalesce((SELECT max(k.pos) FROM k WHERE k.doc = h.doc AND k.pos < h.pos), -1) AS hp FROM h WHERE NOT head),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc, hp ORDER BY pos) AS i, greatest(1, length(body) // 4) AS n FROM b0),
+pk AS (SELECT doc, hp, i, body, CAST(0 AS BIGINT) AS g, CAST(n AS BIGINT) AS size FROM b WHERE i = 1 UNION ALL SELECT b.doc, b.hp, b.i, b.body, CASE WHEN pk.size + b.n > 12 THEN pk.g + 1 ELSE pk.g END, CASE WHEN pk.size + b.n > 12 THEN b.n ELSE pk.size + b.n END FROM pk JOIN b ON b.doc = pk.doc AND b.hp = pk.hp AND b.i = pk.i + 1),
+c AS (SELECT doc, hp, g, string_agg(body, chr(10) ORDER BY i) AS text FROM pk GROUP BY doc, hp, g)
+SELECT c.doc, CAST(row_number() OVER (PARTITION BY c.doc ORDER BY hp, g) - 1 AS INTEGER) AS index, CASE WHEN hp < 0 THEN '(root)' WHEN over_ = '' THEN anc.text ELSE over_ || ' > ' || anc.text END AS section_path, c.text, CAST(greatest(1, length(c.text) // 4) AS INTEGER) AS token_count FROM c LEFT JOIN anc ON anc.doc = c.doc AND anc.pos = hp""")
+def packed_items(spark, sf):
+    return layout.base_chunks(_outline(spark, sf), 12).select("doc", "index", "section_path", "text", "token_count")
+
+
+@query(f"""WITH {_OUTLINE}, {_OVER}, p AS (SELECT doc, unnest(string_split(CASE WHEN over_ = '' THEN text ELSE over_ || ' > ' || text END, ' > ')) AS text FROM anc WHERE EXISTS (SELECT 1 FROM h WHERE h.doc = anc.doc AND NOT head AND h.pos > anc.pos AND NOT EXISTS (SELECT 1 FROM k WHERE k.doc = h.doc AND k.pos > anc.pos AND k.pos < h.pos)))
+SELECT doc, min(pos) AS index, text FROM k WHERE (doc, text) NOT IN (SELECT doc, text FROM p) GROUP BY doc, text""")
+def lone_headings(spark, sf):
+    """Headings that no chunk is under."""
+    items = _outline(spark, sf)
+    return layout.heading_chunks(items, layout.base_chunks(items, 12)).select("doc", "index", "text")
+
+
+_FRAGMENTS = """fr AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS i, CAST(l_suppkey % 2 + 1 AS INTEGER) AS page, repeat('ab', CAST(l_quantity % 12 AS INTEGER)) || CASE WHEN l_partkey % 2 = 0 THEN '!' ELSE '?' END AS own FROM lineitem),
+pl AS (SELECT doc, page, list([own] ORDER BY i) AS l FROM fr WHERE length(own) >= 12 GROUP BY doc, page),
+kp AS (SELECT doc, page, list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda k: contains(x[1], k))) > 0 THEN a ELSE a || x END) AS k FROM pl)"""
+
+
+@query(f"WITH {_FRAGMENTS} SELECT doc, page AS page_no, array_to_string(k, chr(10) || chr(10)) AS text FROM kp WHERE len(k) >= 2")
 def page_rollups(spark, sf):
-    return layout.page_rollups(layout.base_chunks(_layout_items(spark, sf), 40)).select("doc", "page_no", "text")
+    li = table(spark, sf, "lineitem")
+    index = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    text = F.concat(F.repeat(F.lit("ab"), (F.col("l_quantity") % 12).cast("int")), F.when(F.col("l_partkey") % 2 == 0, "!").otherwise("?"))
+    page = (F.col("l_suppkey") % 2 + 1).cast("int")
+    region = F.array(F.struct(page.alias("page_no"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("string").alias("role")))
+    c = li.select(F.col("l_orderkey").cast("string").alias("doc"), index.alias("index"), F.lit(X.ROOT).alias("section_path"), text.alias("text"), page.alias("page_no"), region.alias("regions"), F.lit("text").alias("kind"))
+    return layout.page_rollups(c).select("doc", "page_no", "text")
+
+
+@query("SELECT l_orderkey AS doc, l_linenumber AS line, l_partkey AS part FROM lineitem WHERE NOT (length(repeat('y', CAST(l_quantity AS INTEGER))) < 12 AND l_linestatus = 'F')")
+def junk_fragments(spark, sf):
+    """Texts of fewer than 12 characters go if they lie on a page."""
+    li = table(spark, sf, "lineitem")
+    c = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.lit(X.ROOT).alias("section_path"), F.repeat(F.lit("y"), F.col("l_quantity").cast("int")).alias("text"), F.when(F.col("l_linestatus") == "F", 1).alias("page_no"), F.lit("text").alias("kind"))
+    return layout.drop_junk(c).select("doc", "line", "part")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, l_suppkey % 4 AS page, l_partkey % 3 = 0 AS pic, l_partkey FROM lineitem), f AS (SELECT doc, arg_min(page, i) AS first FROM r GROUP BY doc)
+SELECT doc, string_agg(l_partkey, ',' ORDER BY CASE WHEN page = first THEN -1 ELSE page END, CAST(pic AS INTEGER), i) AS parts FROM r JOIN f USING (doc) GROUP BY doc""")
+def region_order(spark, sf):
+    """Regions of an order's lines: those of the page seen first, then by page; texts before pictures."""
+    li = table(spark, sf, "lineitem")
+    region = F.struct((F.col("l_suppkey") % 4).cast("int").alias("page_no"), F.array(F.col("l_partkey").cast("double")).alias("bbox"), F.when(F.col("l_partkey") % 3 == 0, "picture").alias("role"))
+    g = li.groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", region.alias("r")))).alias("r"))
+    return g.select("doc", F.array_join(F.transform(layout.page_order(F.col("r.r")), lambda x: x["bbox"][0].cast("long").cast("string")), ",").alias("parts"))
+
+
+_CELLS = """t AS (SELECT CAST(l_orderkey // 10 AS VARCHAR) AS doc, CAST(l_orderkey % 10 AS INTEGER) AS pos, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, 'k' || l_partkey || ' row of the table' AS k, 'v' || l_suppkey AS v FROM lineitem)"""
+
+
+def _cells(spark, sf) -> DataFrame:
+    """A table for each order, ten in a document: a first row that names columns, then a row for each line."""
+    li = table(spark, sf, "lineitem")
+    n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    keys = [F.floor(F.col("l_orderkey") / 10).cast("string").alias("doc"), (F.col("l_orderkey") % 10).cast("int").alias("table_id")]
+    body = li.select(*keys, n.alias("row"), F.concat(F.lit("k"), F.col("l_partkey").cast("string"), F.lit(" row of the table")).alias("a"), F.concat(F.lit("v"), F.col("l_suppkey").cast("string")).alias("b"))
+    rows = body.unionByName(body.select("doc", "table_id").distinct().select("doc", "table_id", F.lit(0).alias("row"), F.lit("Key").alias("a"), F.lit("Value").alias("b")))
+    return rows.select("doc", "table_id", F.lit(1).alias("page"), "row", F.posexplode(F.array("a", "b")).alias("col", "text"), F.lit(False).alias("header"))
+
+
+@query(f"WITH {_CELLS} SELECT doc, pos, string_agg('Key ' || k || ', Value = ' || v || '.', ' ' ORDER BY i) AS text FROM t GROUP BY doc, pos")
+def named_tables(spark, sf):
+    """Tables whose first row names their columns, written as sentences into the items that they belong to."""
+    cells = _cells(spark, sf)
+    items = cells.select("doc", F.col("table_id").alias("pos")).distinct().select("doc", "pos", F.lit("table").alias("label"), F.lit("?").alias("text"))
+    return layout.written_tables(items, cells).select("doc", "pos", "text")
 
 
 _SIBS = """c AS (SELECT CAST(l_orderkey AS VARCHAR) AS doc, CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS INTEGER) AS index, 'Order' || chr(32) || chr(62) || chr(32) || l_returnflag AS section_path, 'part ' || l_partkey AS text, l_returnflag AS head FROM lineitem),
@@ -415,11 +638,13 @@ def reply_entities(spark, sf):
     return extract.items_of(extract.parsed(_replies(spark, sf)), ["part", "brand"]).select("doc", "type", "name", "confidence")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) || '.' || l_linenumber || ' Title' AS t, 2 AS depth, CAST(l_quantity AS INTEGER) AS number FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, CASE l_suppkey % 4 WHEN 0 THEN '' ELSE CAST(l_quantity AS INTEGER) || CASE l_suppkey % 4 WHEN 1 THEN '' WHEN 2 THEN '.' || l_linenumber ELSE '.' || l_linenumber || '.1.' END END || ' Title' AS t,
+  CAST(l_suppkey % 4 AS INTEGER) AS depth, CAST(l_quantity AS INTEGER) AS number FROM lineitem""")
 def numbered_headings(spark, sf):
     li = table(spark, sf, "lineitem")
-    t = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), F.lit(" Title"))
-    return li.select("l_orderkey", "l_linenumber", t.alias("t"), X.section_depth(t).alias("depth"), X.label_number(F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(".) "))).alias("number"))
+    q, n, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_suppkey") % 4
+    t = F.concat(F.when(k == 0, "").when(k == 1, q).when(k == 2, F.concat(q, F.lit("."), n)).otherwise(F.concat(q, F.lit("."), n, F.lit(".1."))), F.lit(" Title"))
+    return li.select("l_orderkey", "l_linenumber", t.alias("t"), F.coalesce(X.section_depth(t), F.lit(0)).alias("depth"), X.label_number(F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(".) "))).alias("number"))
 
 
 @query("SELECT p_partkey, p_brand || ' > ' || p_type AS path, CAST(len(list_filter([trim(p_brand), trim(p_type)], lambda x: x <> '')) AS INTEGER) AS parts FROM part")
@@ -466,13 +691,32 @@ def markdown_tables(spark, sf):
     return layout.markdown_tables(cells).select("doc", "text")
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(list_filter(string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' '), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CAST(count(DISTINCT w) AS INTEGER) AS most_terms, CAST(count(*) AS BIGINT) AS weight FROM w GROUP BY doc_id""")
+@query("""WITH w AS (SELECT doc_id, unnest(list_filter(string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' '), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, count(*) AS weight FROM w GROUP BY doc_id) SELECT doc_id, CAST(coalesce(weight, 0) AS BIGINT) AS weight, true AS rising, true AS within FROM documents LEFT JOIN n USING (doc_id) WHERE text IS NOT NULL""")
 def sparse_vectors(spark, sf):
-    """Places of words may coincide, so the number of places is at most that of the words; their weights add up to all of them."""
+    """Places are hashes, which SQL has not (the tests compare them): here the sum of the weights, which is the number of words, and
+    whether places rise and are no more than the words."""
     d = table(spark, sf, "documents").where("text IS NOT NULL")
-    s = d.select("doc_id", extract.sparse_of(F.col("text")).alias("s"), F.size(F.array_distinct(F.filter(F.split(F.lower(X.collapse(F.col("text"))), " "), lambda w: w != ""))).alias("most_terms"))
-    return s.where(F.size("s.indices") <= F.col("most_terms")).select("doc_id", "most_terms", F.aggregate("s.weights", F.lit(0.0), lambda a, x: a + x).cast("long").alias("weight"))
+    s = d.select("doc_id", extract.sparse_of(F.col("text")).alias("s"), F.size(F.array_distinct(F.filter(F.split(F.lower(X.collapse(F.col("text"))), " "), lambda w: w != ""))).alias("words"))
+    rising = F.size(F.array_distinct("s.indices")) == F.size("s.indices")
+    return s.select("doc_id", F.aggregate("s.weights", F.lit(0.0), lambda a, x: a + x).cast("long").alias("weight"), (rising & F.array_sort("s.indices").eqNullSafe(F.col("s.indices"))).alias("rising"), ((F.size("s.indices") <= F.col("words")) & (F.size("s.indices") == F.size("s.weights"))).alias("within"))
+
+
+@query("""SELECT p_partkey, (len(string_split(trim(p_name), ' ')) <= 2 AND trim(p_type) <> '') AS names_columns, replace(p_type, 'A', '') AS plain, length(p_brand) AS n FROM part""")
+def heading_texts(spark, sf):
+    """Rows that may name columns; headings without private-use glyphs; squashed brands."""
+    p = table(spark, sf, "part")
+    odd = F.translate(F.col("p_type"), "A", "\uf0b7")
+    return p.select("p_partkey", X.header_like(F.array("p_name", "p_type"), 2).alias("names_columns"), X.plain_heading(odd).alias("plain"), F.length(X.squash(F.concat(F.lit("–"), F.translate("p_brand", "#", "a")))).cast("long").alias("n"))
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS DOUBLE) AS y0, CAST(l_quantity + l_linenumber AS DOUBLE) AS y1 FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, y1 AS upper, y0 AS lower, (y0 < 0.12 * 60 OR y1 > 0.88 * 60) AS margin FROM b""")
+def boxes(spark, sf):
+    """Boxes given upside down, put upright, and which of them are in the margin of a page of height 60."""
+    li = table(spark, sf, "lineitem")
+    box = F.array(F.lit(9.0), F.col("l_quantity").cast("double") + F.col("l_linenumber"), F.lit(1.0), F.col("l_quantity").cast("double"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", X.upright(box)["upper"].alias("upper"), X.upright(box)["lower"].alias("lower"), X.in_margin(box, F.lit(60.0)).alias("margin"))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || c_custkey AS a, 'g' || c_nationkey || c_mktsegment AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
