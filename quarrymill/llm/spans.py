@@ -228,6 +228,11 @@ def _repeats(bucket, span, doc, start, within: bool):
     return o, gone, new
 
 
+def range_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Which of so many equal ranges of hashes each is in."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def interval_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray, p_of: int) -> list[tuple]:
     """A row for each document: its merged intervals."""
     if not len(doc):
@@ -283,11 +288,11 @@ def runs_of(texts: DataFrame, hashed: Callable[[], Callable[[str], np.ndarray]],
             differs = np.append(False, (bucket[1:] == bucket[:-1]) & (span[1:] != span[:-1]))[: len(bucket)]
             many[group[differs]] = True
             flag = many[group]
-            p = (np.where(flag, span, bucket) >> np.uint64(32)).astype(np.int64) % parts
+            p = range_of(np.where(flag, span, bucket), parts)
             mark = lead[many]  # a marker (no windows) for each bucket that is dealt by span
             add = lambda x, y: np.concatenate([x, y])
             columns = [add(bucket, bucket[mark]), add(span, span[mark]), add(doc, doc[mark]), add(start, start[mark]), add(n, n[mark] * 0), add(flag, flag[mark])]
-            p = add(p, (bucket[mark] >> np.uint64(32)).astype(np.int64) % parts)
+            p = add(p, range_of(bucket[mark], parts))
             yield from _emit_all(_dealt(p, np.searchsorted(edges, columns[2], side="right"), columns))
 
         for b in batches:
@@ -318,40 +323,49 @@ def _by_p(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]
         yield now, rows
 
 
+def settle_range(p: int, group: list[tuple], length: int, within: bool, index: bool) -> Iterator[pa.RecordBatch]:
+    """What the rows of one bucket range give: intervals, requests and (index) the rows that a later batch is held against. Rows of
+    kind INDEX are earlier ones; they give requests only."""
+    yield from _emit_all([r for r in group if r[1] == INTERVALS])
+    got = [(r[1], unpack_columns(r[4])) for r in group if r[1] != INTERVALS and r[4]]
+    if not got:
+        if index:
+            yield _emit([(p, INDEX, None, 0, b"")])
+        return
+    bucket, span, doc, start, n, flag = (np.concatenate([c[i] for _, c in got]) for i in range(6))
+    old = np.concatenate([np.full(len(c[0]), kind == INDEX) for kind, c in got])
+    n = n.astype(np.int64)
+    marker = n == 0
+    real = np.flatnonzero(~marker)
+    o, gone, new = _repeats(bucket[real], span[real], doc[real], start[real], within)
+    at = real[o]
+    out = at[gone & ~old[at]]
+    yield from _emit_all(interval_rows(doc[out], start[out], start[out] + n[out] - 1 + length, 1))
+    stay = at[~gone]
+    b = bucket[stay]
+    ties = np.append(False, (b[1:] == b[:-1]) & (span[stay][1:] != span[stay][:-1]))[: len(b)]
+    tied = np.concatenate([b[ties], bucket[(flag > 0)]])
+    if index:  # of ranges without a new row nothing is asked: their ties were settled when they were new
+        tied = tied[np.isin(tied, bucket[~old])]
+    asked = stay[np.isin(b, tied)]
+    rows_, oo = [], np.lexsort((start[asked], doc[asked]))
+    asked = asked[oo]
+    for a, z in _groups(_changes(doc[asked])):
+        s = start[asked[a:z]]
+        rows_.append((p, REQUESTS, int(doc[asked[a]]), 0, np.stack([s, s + n[asked[a:z]]], axis=1).astype("<i8").tobytes()))
+    yield from _emit_all(rows_)
+    if index:
+        keep = np.concatenate([stay[~old[stay]], np.flatnonzero(marker & ~old)])
+        keep = keep[np.lexsort((start[keep], doc[keep], span[keep], bucket[keep]))]
+        yield _emit([(p, INDEX, None, 0, pack_columns(bucket[keep], span[keep], doc[keep], start[keep], n[keep], flag[keep]) if len(keep) else b"")])
+
+
 def settle_runs(rows: DataFrame, length: int, within: bool, index: bool = False) -> DataFrame:
-    """Stage 2: intervals, requests and (index) the rows that a later batch is held against. Rows of kind INDEX are earlier ones."""
+    """Stage 2: each bucket range settled by itself."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, group in _by_p(batches):
-            yield from _emit_all([r for r in group if r[1] == INTERVALS])
-            got = [(r[1], unpack_columns(r[4])) for r in group if r[1] != INTERVALS]
-            if not got:
-                continue
-            bucket, span, doc, start, n, flag = (np.concatenate([c[i] for _, c in got]) for i in range(6))
-            old = np.concatenate([np.full(len(c[0]), kind == INDEX) for kind, c in got])
-            n = n.astype(np.int64)
-            marker = n == 0
-            real = np.flatnonzero(~marker)
-            o, gone, new = _repeats(bucket[real], span[real], doc[real], start[real], within)
-            at = real[o]
-            out = at[gone & ~old[at]]
-            yield from _emit_all(interval_rows(doc[out], start[out], start[out] + n[out] - 1 + length, 1))
-            stay = at[~gone]
-            b = bucket[stay]
-            ties = np.append(False, (b[1:] == b[:-1]) & (span[stay][1:] != span[stay][:-1]))[: len(b)]
-            tied = np.concatenate([b[ties], bucket[(flag > 0)]])
-            asked = stay[np.isin(b, tied)]
-            rows_, oo = [], np.lexsort((start[asked], doc[asked]))
-            asked = asked[oo]
-            for a, z in _groups(_changes(doc[asked])):
-                s = start[asked[a:z]]
-                rows_.append((p, REQUESTS, int(doc[asked[a]]), 0, np.stack([s, s + n[asked[a:z]]], axis=1).astype("<i8").tobytes()))
-            yield from _emit_all(rows_)
-            if index:
-                keep = np.concatenate([stay[~old[stay]], np.flatnonzero(marker & ~old)])
-                keep = keep[np.lexsort((start[keep], doc[keep]))]
-                if len(keep):
-                    yield _emit([(p, INDEX, None, 0, pack_columns(bucket[keep], span[keep], doc[keep], start[keep], n[keep], flag[keep]))])
+            yield from settle_range(p, group, length, within, index)
 
     return rows.repartition(width(rows.sparkSession), "p").sortWithinPartitions("p").mapInArrow(settle, ROWS)
 
@@ -403,7 +417,7 @@ def settle_windows(asked: DataFrame, hashed: Callable[[], Callable[[str], np.nda
             yield from _emit_all(interval_rows(doc[gone], start[gone], start[gone] + length, parts))
             doc, start, h, g = doc[~gone], start[~gone], h[~gone], g[~gone]
             one = np.ones(len(h), np.uint8)
-            yield from _emit_all(_dealt((g >> np.uint64(32)).astype(np.int64) % parts, np.zeros(len(h), np.int64), [g, h, doc, start, one, one * 0]))
+            yield from _emit_all(_dealt(range_of(g, parts), np.zeros(len(h), np.int64), [g, h, doc, start, one, one * 0]))
 
         for b in batches:
             for doc, packed, data in zip(*[b.column(c).to_pylist() for c in ("doc_id", "packed", "data")], strict=True):

@@ -104,6 +104,34 @@ def test_words(docs, batches):
     assert rows(got, 3) == want
 
 
+def test_index_over_sessions(spark, docs, tmp_path):
+    """Three batches in two sessions give what one batch gives; old runs are not dealt again, and levels are merged."""
+    d = texts(docs)
+    path, merged = str(tmp_path / "index"), {}
+    for k, session in enumerate((spark, spark, spark.newSession())):
+        if k == 2:
+            for r in fingerprints.Index(spark, path).about["runs"]:
+                spark.sql(f"DROP TABLE IF EXISTS {r['folder']}")  # the session knows only the folder
+        index = fingerprints.Index(session, path)
+        own = session.read.schema(docs.schema).parquet(*docs.inputFiles())
+        own = texts(own)
+        batch = own.where(f"coalesce(doc_id, {spans.NO_ID}) >= {[0, 45, 85][k]} AND coalesce(doc_id, {spans.NO_ID}) < {[45, 85, 1 << 62][k]}")
+        for r in index.add(batch, own).collect():
+            merged.setdefault(r["doc_id"], []).append(r["data"])
+    want = {r[0]: r[1] for r in fingerprints.repeated_words(docs, batches=1).collect()}
+    plain = lambda x: {k: spans.merge_pairs(spans.pairs(v), 1 << 40).tolist() for k, v in x.items()}
+    assert plain(merged) == plain(want)
+    runs = fingerprints.Index(spark, path).about["runs"]
+    assert sorted(r["level"] for r in runs) == [0, 1]
+    for r in runs:
+        for row in index.table(r["folder"]).where(f"kind = {spans.INDEX} AND length(data) > 0").collect():
+            bucket, span = spans.unpack_columns(row["data"])[:2]
+            order = np.lexsort((span, bucket))
+            assert (bucket[order] == bucket).all() and (span[order] == span).all()
+    plan = index._joined(runs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def gone_bytes(texts_):
     """Brute force over (doc, text) in order: the removed positions of each document."""
     seen, out = set(), {}
