@@ -17,8 +17,10 @@ _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one under /tmp/checkpoints if unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); on one machine, one under /tmp/checkpoints if unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (root or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 

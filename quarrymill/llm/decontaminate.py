@@ -12,8 +12,9 @@ block passes over all documents; a document's q-grams are looked up in a bitmap
 Items of fewer than Q characters have no q-gram; they are searched exactly, by their whole text, and must be bounded: where
 an end of one is a letter or digit, so must the neighbour not be, unless one of the two is of a script without word spaces.
 
-Defined cases: null and empty texts hold nothing; items without a character (or null) stand nowhere; of several stretches of one item in a document the one with the fewest edits, then the first, is given; rows
-that repeat are searched each for itself; a null doc_id is given back as null.
+Defined cases: null and empty texts hold nothing; very long texts are searched whole; items without a character (or null) stand
+nowhere; of several stretches of one item in a document the one with the fewest edits, then the first, is given; rows that repeat are
+searched each for itself; a null doc_id is given back as null; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ RATE = 0.08
 LEAST = 1
 #: Characters of items in one broadcast.
 BLOCK = 4_000_000
-#: Characters of documents searched at once.
-PIECE = 1 << 18
+#: Characters of documents searched at once; shared q-grams looked at at once.
+PIECE, HITS = 1 << 18, 1 << 20
 _BITS = 22
 _SPACE = re.compile(r"\s+")
 
@@ -119,15 +120,23 @@ class Items:
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in h, item, place in the item) of each shared q-gram."""
+    def shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in h, number of the q-gram) of each shared q-gram."""
         where = np.flatnonzero(self.bits[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.keys, h[where]), len(self.keys) - 1)
         same = self.keys[k] == h[where]
-        where, k = where[same], k[same]
-        n = self.count[k]
-        entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(where, n), self.item[entry], self.at[entry]
+        return where[same], k[same]
+
+    def hits(self, where: np.ndarray, k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place, item, place in the item) of shared q-grams, about HITS at a time, however many items have one in common."""
+        ends = np.cumsum(self.count[k])
+        a = 0
+        while a < len(k):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HITS, side="right")))
+            n = self.count[k[a:z]]
+            entry = np.repeat(self.first[k[a:z]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield np.repeat(where[a:z], n), self.item[entry], self.at[entry]
+            a = z
 
 
 def banded(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
@@ -152,20 +161,29 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int
 def regions(items: Items, bounds: np.ndarray, h: np.ndarray) -> set[tuple[int, int, int]]:
     """(document, item, band) of every band that meets its item's bound; h: q-gram hashes of documents laid end to end, which
     begin at bounds."""
-    where, item, at = items.hits(h)
+    where, k = items.shared(h)
+    found: set[tuple[int, int, int]] = set()
     if not len(where):
-        return set()
-    doc = np.searchsorted(bounds, where, side="right") - 1
-    diagonal = where - bounds[doc] - at
-    step = items.edits[item] + 1
-    band = diagonal // step
+        return found
+    many = len(items.ids)
+    doc_of = lambda w: np.searchsorted(bounds, w, side="right") - 1
+    # first how many q-grams each document shares with each item, then the bands of the pairs that share enough
+    counted = [np.unique(doc_of(w) * many + item, return_counts=True) for w, item, _ in items.hits(where, k)]
+    pairs, inverse = np.unique(np.concatenate([c[0] for c in counted]), return_inverse=True)
+    enough = pairs[np.bincount(inverse, np.concatenate([c[1] for c in counted])) >= items.least[pairs % many]]
+    if not len(enough):
+        return found
+    kept = []
+    for w, item, at in items.hits(where, k):
+        doc = doc_of(w)
+        pair = doc * many + item
+        i = np.minimum(np.searchsorted(enough, pair), len(enough) - 1)
+        own = enough[i] == pair
+        band = (w[own] - bounds[doc[own]] - at[own]) // (items.edits[item[own]] + 1)
+        kept.append(np.stack([pair[own], band, at[own]], axis=1))
     # one q-gram place of the item counts once in a band
-    found: set[tuple[int, int, int]] = set()
-    pair = doc * len(items.ids) + item
-    some, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
-    keep = (n >= items.least[some % len(items.ids)])[inverse]
-    pair, band, at = pair[keep], band[keep], at[keep]
-    rows = np.concatenate([np.stack([pair, band - shift, at], axis=1) for shift in (0, 1)])
+    one = np.concatenate(kept)
+    rows = np.concatenate([one, one - np.array([0, 1, 0])])
     if len(rows):
         rows = np.unique(rows, axis=0)
         cut = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))

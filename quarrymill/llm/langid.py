@@ -6,7 +6,7 @@ made monotonous; a text is `rejected` if its cross-entropy is above that of all
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without any label everything is `und`; a null
 doc_id belongs to the rows learned from; ties between languages go to the first in order of name; rows that repeat count as
-often as they stand there.
+often as they stand there; texts of any length are read whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ are split by adaptive execution.
 
 Defined cases: a null text counts as empty and stays null where documents are returned; documents of fewer than three
 lines lose nothing; null doc_ids come first in the order; rows that repeat a doc_id and text are one document and fare
-alike; rows that share a doc_id but not the text are versions of one document, and what goes from one goes from each.
+alike; rows that share a doc_id but not the text are versions of one document, and what goes from one goes from each; of equal
+windows the first in the order stays; texts of any length are read whole; an empty table gives no rows; other columns, whatever their
+names, stay as they are.
 """
 
 from __future__ import annotations

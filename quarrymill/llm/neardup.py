@@ -12,7 +12,8 @@ dealt over salted groups of SALT. Where that leaves a bucket in several componen
 chunks meet in a task of their own, and what links are missing between components is found there; no pair leaves the task
 unless it joins two components.
 
-Defined cases: a null text has no words; null doc_ids form no links and are their own component (null); rows that repeat a
+Defined cases: a null or empty text has no words; an empty table gives no rows; texts of any length are one set; other columns, whatever
+their names, are neither read nor changed; null doc_ids form no links and are their own component (null); rows that repeat a
 doc_id are judged by their own texts, and a doc_id on several texts is linked if any of them is; ties go to the smaller doc_id.
 """
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import mix, read_documents, staged, texts, width, word_list, words_hashed
@@ -33,8 +35,8 @@ WORDS = 5
 PERMUTATIONS = 32
 _A = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(np.arange(101, PERMUTATIONS + 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Members of a pivot that one salted group holds.
-SALT = 256
+#: Members of a pivot that one salted group holds; groups for which one row's text is copied in one task.
+SALT, FAN = 256, 1024
 #: Members of a bucket that are compared by signature with so many others in one task.
 CHUNK = 1024
 
@@ -123,10 +125,16 @@ def compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b, common, either (sizes of intersection and union) of the full sets of each pair (a, b)."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    zero, last = F.lit(0).cast("long"), F.col("salts") - 1
     demand = salted.select(F.col("b").alias("key"), F.struct("a", "salt", F.lit(1).alias("role")).alias("for"))
-    lead = many.select(F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select("key", F.struct(F.col("key").alias("a"), "salt", F.lit(0).alias("role")).alias("for"))
+    lead = many.where(F.col("salts") <= FAN).select(F.col("a").alias("key"), F.explode(F.sequence(zero, last)).alias("salt")).select("key", F.struct(F.col("key").alias("a"), "salt", F.lit(0).alias("role")).alias("for"))
     wanted = demand.unionByName(lead).groupBy("key").agg(F.collect_list("for").alias("for"))
     sent = packed(docs).join(wanted.hint("merge"), "key").select("key", "packed", F.explode("for").alias("for")).select("for.*", "key", "packed")
+    hot = many.where(F.col("salts") > FAN)
+    if not hot.isEmpty():  # a copy for each FAN groups, dealt, and then copied there for each group
+        first = packed(docs).join(hot.select(F.col("a").alias("key"), "salts").hint("merge"), "key").withColumn("from", F.explode(F.sequence(zero, last, F.lit(FAN).cast("long"))))
+        copies = first.repartition(width(docs.sparkSession), "key", "from").withColumn("salt", F.explode(F.sequence(F.col("from"), F.least(last, F.col("from") + FAN - 1))))
+        sent = sent.unionByName(copies.select(F.col("key").alias("a"), "salt", F.lit(0).alias("role"), "key", "packed"))
     out = pa.schema([(c, pa.int64()) for c in ("a", "b", "common", "either")])
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +276,10 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document (the smallest doc_id) of each group; a doc_id on several rows keeps one of them. Null doc_ids stay."""
+    """One document (the smallest doc_id) of each group; of several rows with that doc_id the one whose text is first in order of
+    its characters stays, and of those with equal texts one. Null doc_ids stay."""
     kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__id"))
-    own = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("__id")).drop("__id")
-    return own.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    own = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("__id"))
+    rest = [F.xxhash64(c) for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map")]
+    first = F.row_number().over(W.partitionBy("__id").orderBy(F.col("text").asc_nulls_last(), *rest))
+    return own.withColumn("__n", first).where("__n = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

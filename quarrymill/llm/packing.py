@@ -10,7 +10,10 @@ tokens, whatever the number of documents): bins in the same state are placed as
 few thousand rows at most. A piece gets its sequence from its number among the pieces of its length, which comes from
 counts for each task and length, so no group of equal lengths meets in one task.
 
-Defined cases: a null or empty text is the end id alone; null doc_ids are packed like others; rows that repeat are packed
+Limits on documents and attention bind only below the defaults: a sequence of 1,024 tokens can't hold more than 1,024 documents, nor cost
+more than 1,024 squared. There the weights still choose among bins.
+
+Defined cases: a null or empty text is the end id alone; very long texts are cut into pieces; other columns are not read; null doc_ids are packed like others; rows that repeat are packed
 each for itself; ties in the plan go to the class opened first; an empty table gives no rows.
 """
 
@@ -123,7 +126,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPA
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     where = slots(plan(histogram, capacity=capacity, **limits))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    numbered = pieces.join(per_task.select("part", "length", F.coalesce(before, F.lit(0)).alias("before")), ["part", "length"])
+    numbered = pieces.join(per_task.select("part", "length", F.coalesce(before, F.lit(0)).alias("before")).hint("merge"), ["part", "length"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,7 +4,7 @@ Every line is judged alone (punctuation, navigation, boilerplate); failing lines
 than a share of its characters is rejected, as is one that fails the base rules (too few words, too much repetition).
 
 Defined cases: a null text counts as empty; an empty text has all statistics 0 and fails the base rule on words; repeated
-rows and ties are judged row by row, each alike; other columns, whatever their names, are neither read nor changed.
+rows and ties are judged row by row, each alike; texts of any length are judged whole; an empty table gives no rows; other columns, whatever their names, are neither read nor changed.
 """
 
 from __future__ import annotations

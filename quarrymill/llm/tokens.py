@@ -10,7 +10,8 @@ control bytes, the data bytes. `ranks.bin` has the id of each rank (uint32). Sha
 doc_id order, about SHARD ids each; a file is written under another name first, then renamed, so a repeated task is harmless.
 
 Defined cases: null and empty texts have no ids but the end id; a null doc_id comes last and is read back as null; documents
-with one doc_id follow each other in the order of their ids' crc32 and number; an empty table gives no rows.
+with one doc_id follow each other in the order of their ids' crc32 and number; an empty table gives no rows; a very long text makes a
+longer file, since files hold whole documents; other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ are counted for each label (LABELS at most). The LEXICON words of greatest likel
 kept, after PSEUDO documents of the prior's share; a text's log odds are the prior's plus those of its distinct words.
 
 Defined cases: null and empty texts get the prior; without any label every score is 0.5 or less; a null doc_id is not held out;
-documents without a label aren't learned from; several labels of one document count each; rows that repeat are scored alike.
+documents without a label aren't learned from; several labels of one document count each; rows that repeat are
+scored alike; of readings of equal cost the one found first stays; texts of any length are read whole; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -503,3 +503,120 @@ def test_blocks_equal_the_whole_model(spark, monkeypatch):
         assert m.classes == sorted(counted) and (len(m.parts) > 3) == (cells < 10**9)
         _, got = m.cross_entropy(lines_)
         assert np.allclose(got, want, atol=1e-4)
+
+
+def test_common_grams_are_searched_in_slices(spark, docs, monkeypatch):
+    """Items that share most of their q-grams: slices of hits of any size give the same places."""
+    stem = "the quick brown fox jumps over the lazy dog and runs away from "
+    b = spark.createDataFrame([(i, stem + f"number {i} of the {i * 7} hunters") for i in range(40)], "item_id long, text string")
+    d = make(spark, [(i, "before " + stem + f"number {i} of the {i * 7} hunters " + stem * (i % 3)) for i in range(0, 60, 3)])
+    want = {tuple(r) for r in decontaminate.matches(d, b).collect()}
+    items = decontaminate.Items([r.item_id for r in b.collect()], [decontaminate.normal(r.text) for r in b.collect()])
+    texts_ = [(r.doc_id, decontaminate.normal(r.text)) for r in d.collect()]
+    for hits in (7, 1000, 1 << 20):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        assert {tuple(r) for r in decontaminate.search(texts_, items)} == want
+    assert {(i, i) for i in range(0, 40, 3)} <= {r[:2] for r in want}
+
+
+def test_vector_limits_bind(docs):
+    """Packing by tokens alone breaks limits that the vector keeps."""
+    counts = {10: 400, 35: 60, 60: 40}
+    plain = packing.plan(counts, capacity=100, documents=100, attention=10**6, weights=(1.0, 0.0, 0.0))
+    broken = lambda bins: [p for _, p in bins if sum(p.values()) > 4 or sum(k * k * m for k, m in p.items()) > 4500]
+    assert broken(plain)
+    for rule in ("norm", "dot"):
+        bins = packing.plan(counts, capacity=100, documents=4, attention=4500, rule=rule)
+        assert not broken(bins) and sum(n * p.get(10, 0) for n, p in bins) == 400
+    path = encoding.tokenizer_path("byte_bpe_50k.json")
+    held = {}
+    for r in packing.pack_documents(docs, path, 2, documents=2).collect():
+        held[r.sequence_id] = held.get(r.sequence_id, 0) + 1
+    assert max(held.values()) == 2
+
+
+def test_viterbi_equals_every_reading(spoken):
+    """The reading of least cost among all that a lattice has."""
+    from itertools import product
+
+    r = toxicity.reader(spoken)
+    fold = charlm._fold()
+
+    def cost(read):
+        a = b = 0
+        total = sum(price for _, price in read)
+        for letter in [x for x, _ in read if x] + [" "]:
+            s = int(fold[ord(letter)])
+            total -= r.next(a, b, s)
+            a, b = b, s
+        return total
+
+    for word in ("m0r0n", "!d10t", "a$$", "h3||0", "cl000wn", "1t", "x", "(4t!"):
+        places = r.lattice(word)
+        best = min(product(*places), key=cost)
+        read, each = r.decode(places)
+        letters = "".join(x for x, _ in best)
+        assert abs(cost(best) - each * max(1, len(letters) + 1)) < 1e-6 or read == letters.strip()
+        assert read == letters.strip(), word
+
+
+def test_kneser_equals_counting():
+    """Interpolated Kneser-Ney by its definition, over dictionaries."""
+    text = "the cat sat on the mat and the rat ran to the hat " * 2 + "a cat"
+    s = charlm.symbols(text).tolist()
+    order = charlm.ORDER
+    top = {}
+    for i in range(len(s) - order + 1):
+        w = tuple(s[i : i + order])
+        top[w] = top.get(w, 0) + 1
+    levels = {order: top}
+    for k in range(order - 1, 0, -1):
+        levels[k] = {}
+        for w in levels[k + 1]:
+            levels[k][w[1:]] = levels[k].get(w[1:], 0) + 1
+
+    def p(w):
+        k = len(w)
+        if not k:
+            return 1 / (1 << charlm.SYMBOL)
+        c = levels[k]
+        one, two = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        d = min(max(one / (one + 2 * two) if one and two else 0.75, 0.1), 0.9)
+        own = [n for v, n in c.items() if v[:-1] == w[:-1]]
+        if not own:
+            return p(w[1:])
+        return max(c.get(w, 0) - d, 0) / sum(own) + d * len(own) / sum(own) * p(w[1:])
+
+    keys, n = np.unique(charlm.windows(np.array(s, np.uint16)), return_counts=True)
+    m = charlm.Kneser(keys, n, (int((n == 1).sum()), int((n == 2).sum())))
+    unpack = lambda k: tuple(int(k) >> charlm.SYMBOL * i & (1 << charlm.SYMBOL) - 1 for i in reversed(range(order)))
+    some = np.concatenate([keys, keys ^ np.uint64(3), keys ^ np.uint64(5 << 24)])
+    assert np.allclose(m.probability(order, some), [p(unpack(k)) for k in some])
+
+
+def test_hot_pivot_is_fanned_out(docs, monkeypatch):
+    want = rows(neardup.near_duplicates(docs, 85), 3)
+    monkeypatch.setattr(neardup, "SALT", 2)
+    monkeypatch.setattr(neardup, "FAN", 2)
+    assert rows(neardup.near_duplicates(docs, 85), 3) == want
+
+
+def test_values_of_odd_rows(spark, odd):
+    """Nulls, repeated rows and versions have the results that the docstrings state."""
+    near = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in neardup.near_duplicates(odd, 80).collect())
+    assert near == sorted([("None", 0, "None", True), ("None", 1, "None", True), ("2", 0, "2", True)] + [("1", 1, "1", True)] * 4)
+    kept = sorted((str(r.doc_id), str(r.text)) for r in neardup.keep_one(odd).collect())
+    assert kept == [("1", "other"), ("2", "None"), ("None", "None"), ("None", "a text")]
+    lang = {(r.doc_id, r.lang_pred, r.score) for r in langid.identify(odd).where("doc_id IS NULL OR doc_id = 2").collect()}
+    assert (2, "und", 0.0) in lang and (None, "und", 0.0) in lang
+    cut = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in spans.removed(texts(odd), fingerprints.repeated_words(odd), "n_words long, n_removed long, kept_sha256 string", fingerprints.without).collect())
+    assert cut == [("1", 1, 0)] * 4 + [("2", 0, 0), ("None", 0, 0), ("None", 2, 0)]
+    packed = packing.pack_documents(odd, PATH, 2).collect()
+    assert sum(r.length == 1 and r.piece == 0 for r in packed) == 2 and len(packed) == odd.count()
+    b = spark.createDataFrame([(1, "other"), (2, None)], "item_id long, text string")
+    left = decontaminate.drop_contaminated(odd, b)
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "None", "None"] and left.columns == odd.columns
+    got = sorted((r.row.doc_id or 0, r.lines.n_lines, r.lines.n_removed, r.lines.text) for r in lines.dedup_lines(odd).collect())
+    assert got == sorted([(0, 1, 0, ""), (0, 1, 0, "a text"), (2, 1, 0, "")] + [(1, 1, 0, "same")] * 2 + [(1, 1, 0, "other")] * 2)
+    judged = [(r.quality.n_words, r.quality.base_failed, r.quality.kept) for r in quality.quality(odd.where("doc_id = 2")).collect()]
+    assert judged == [(0, True, False)]
