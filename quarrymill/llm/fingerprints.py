@@ -137,7 +137,7 @@ class Index:
         self._save([*runs, {"folder": name, "level": 0}])
         found = self.table(name)
         asked = with_rows(history, by_document(found, REQUESTS), "inner")
-        rest = settle_windows(asked, hashed_words, a["length"], a["parts"], False)
+        rest = settle_windows(asked, hashed_words, a["length"], a["buckets"], False)
         self.compact()
         return found.where(F.col("kind") == INTERVALS).unionByName(rest.where(F.col("kind") == INTERVALS))
 
