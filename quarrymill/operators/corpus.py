@@ -13,10 +13,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..sources.files import create_small, list_folders, list_small, read_small, remove_tree
-from .store import staged
+from .store import empty, staged
 
 SCHEMAS = {
     "chunks": "doc string, chunk_id string, text string, source_path string, section_path string, page_no int, regions_json string, cite_hex string, embedding array<float>, sidx array<int>, swt array<float>, origin string, props map<string, string>",
@@ -148,7 +149,7 @@ class Corpus:
     def _table(self, manifest: dict, t: str, parts: list[int] | None = None) -> DataFrame:
         now = manifest["tables"][t]
         wanted = [now[k] for k in now if parts is None or int(k) in parts]
-        return self.spark.read.schema(SCHEMAS[t]).parquet(*[f"{self.path}/{w}" for w in wanted]) if wanted else self.spark.createDataFrame([], SCHEMAS[t])
+        return self.spark.read.schema(SCHEMAS[t]).parquet(*[f"{self.path}/{w}" for w in wanted]) if wanted else empty(self.spark, SCHEMAS[t])
 
     def tables(self) -> dict[str, DataFrame]:
         """The tables that count now; empty ones before the first commit."""
@@ -160,7 +161,7 @@ class Corpus:
         tables = {t: dict(parts) for t, parts in manifest["tables"].items()}
         for t, (parts, d) in changed.items():
             version = f"data/{t}-{uuid.uuid4().hex[:12]}"
-            kinds = self.spark.createDataFrame([], SCHEMAS[t]).schema
+            kinds = T.StructType.fromDDL(SCHEMAS[t])
             rows = d.select(*[F.col(f.name).cast(f.dataType) for f in kinds], self._part(manifest, KEYS[t]).alias("part"))
             rows.repartition(max(1, len(parts)), "part").write.partitionBy("part").parquet(f"{self.path}/{version}")
             there = {int(x.removeprefix("part=")) for x in list_folders(self.spark, f"{self.path}/{version}") if x.startswith("part=")}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Folders that this process has staged, in order.
 _made: list[str] = []
@@ -27,6 +29,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def empty(spark: SparkSession, fields: str) -> DataFrame:
+    """A table of these fields without rows, which the optimizer knows to have none."""
+    kinds = T.StructType.fromDDL(fields)
+    return spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
+
+
 def staged_so_far() -> int:
     return len(_made)
 
