@@ -172,3 +172,15 @@ def get_chunker(strategy: str) -> Callable[..., DataFrame]:
 def parse(df: DataFrame, strategy: str = "structural", **options) -> DataFrame:
     """Documents (doc, text) or layout items to chunks; nothing is stored."""
     return get_chunker(strategy)(df, **options)
+
+
+def read_pages(fetch: Callable[[int, int], list], size: int = 5000) -> Iterator:
+    """Rows of a source that gives pages: fetch(skip, limit), until a page is short. For sources that are no table; tables are read
+    by Spark, in as many tasks as they have parts."""
+    skip = 0
+    while True:
+        page = fetch(skip, size)
+        yield from page
+        if len(page) < size:
+            return
+        skip += size
