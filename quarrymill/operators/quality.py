@@ -8,22 +8,30 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+def _seen(pages: DataFrame) -> DataFrame:
+    """doc, line, seen: how often each stripped line that isn't blank is in a document."""
+    lines = pages.select("doc", F.explode(F.transform(F.split("text", "\n"), X.strip)).alias("line")).where("line <> ''")
+    return lines.groupBy("doc", "line").agg(F.count("*").alias("seen"))
+
+
+def _repeated():
+    """Whether a line is only repeated: on max(3, pages // 2) or more lines of a document of 3 pages or more."""
+    return (F.col("pages") >= 3) & (F.col("seen") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 2)))
+
+
 def repeated_lines(pages: DataFrame) -> DataFrame:
-    """doc, line, seen: stripped lines (of doc, page, text) on max(3, pages // 2) or more lines, in documents of 3 pages or more."""
+    """doc, line, seen: the stripped lines (of doc, page, text) that are only repeated."""
     pages_of = pages.groupBy("doc").agg(F.countDistinct("page").alias("pages")).where("pages >= 3")
-    lines = pages.select("doc", F.explode(F.transform(F.split("text", "\n"), X.strip)).alias("line")).where("line <> ''")
-    seen = lines.groupBy("doc", "line").agg(F.count("*").alias("seen"))
-    return seen.join(pages_of, "doc").where(F.col("seen") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 2))).select("doc", "line", "seen")
+    return _seen(pages).join(pages_of, "doc").where(_repeated()).select("doc", "line", "seen")
 
 
 def text_damage(pages: DataFrame) -> DataFrame:
-    """doc, body (kept characters), letters (share of visible ones), misdecoded, damaged, short."""
+    """doc, body (kept characters), letters (share of visible ones), misdecoded, damaged, short. Each distinct line is looked at once."""
     size = pages.groupBy("doc").agg(F.countDistinct("page").alias("pages"), F.sum(F.length("text")).alias("length"), F.sum(F.regexp_count("text", F.lit("[\\u0080-\\u009F\\uFFFD]"))).alias("misdecoded"))
-    lines = pages.select("doc", F.explode(F.transform(F.split("text", "\n"), X.strip)).alias("line")).where("line <> ''")
-    kept = lines.join(repeated_lines(pages).select("doc", "line"), ["doc", "line"], "left_anti")
-    letters = F.sum(F.length(F.regexp_replace("line", r"[^\p{L}]", "")))
-    visible = F.sum(F.length(F.regexp_replace("line", r"(?U)[\s\x1c-\x1f]", "")))
-    body = kept.groupBy("doc").agg(F.sum(F.length("line")).alias("body"), letters.alias("alpha"), visible.alias("visible"))
+    kept = _seen(pages).join(size.select("doc", "pages"), "doc").where(~_repeated())
+    of = lambda c: F.sum(F.col("seen") * F.length(c))
+    letters, visible = F.regexp_replace("line", r"[^\p{L}]", ""), F.regexp_replace("line", r"(?U)[\s\x1c-\x1f]", "")
+    body = kept.groupBy("doc").agg(of(F.col("line")).alias("body"), of(letters).alias("alpha"), of(visible).alias("visible"))
     d = size.join(body, "doc", "left").select(
         "doc",
         F.coalesce("body", F.lit(0)).alias("body"),

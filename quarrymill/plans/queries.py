@@ -376,7 +376,7 @@ def pagerank(spark, sf):
 
 @query()
 def communities(spark, sf):
-    """Greedy moves in a fixed order are beyond SQL: the tests hold them against a plain implementation."""
+    """Greedy moves in a fixed order are beyond SQL; the tests have graphs whose communities are known."""
     pairs = graph.similar_to(_vectors(spark, sf), 0.35, _OWN_BANDS)
     return graph.louvain(pairs.select("src", "dst", "weight"))
 
