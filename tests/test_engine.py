@@ -2,7 +2,6 @@ import json
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarrymill.operators import corpus, extract, layout
 from quarrymill.operators.extract import dictionary_extractor
