@@ -39,6 +39,8 @@ GRAM = 20
 #: Batches of the query, by ranges of doc_id; runs of one level that are merged.
 BATCHES = 3
 FANOUT = 2
+#: How fingerprints are dealt over ranges (spans.range_of), which holds for an index as long as it lives.
+LAYOUT = 2
 
 
 def hashed_words():
@@ -58,8 +60,9 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, gram: int = GRAM):
         self.spark, self.path = spark, path
-        self.about = self._last() or {"version": 0, "length": length, "gram": gram, "parts": 4 * width(spark), "buckets": width(spark), "runs": []}
+        self.about = self._last() or {"version": 0, "layout": LAYOUT, "length": length, "gram": gram, "parts": 4 * width(spark), "buckets": width(spark), "runs": []}
         assert (self.about["length"], self.about["gram"]) == (length, gram), "the index was made for other windows"
+        assert self.about.get("layout") == LAYOUT, "the index was made with other ranges"
 
     def _last(self) -> dict | None:
         """The newest manifest."""

@@ -229,8 +229,9 @@ def _repeats(bucket, span, doc, start, within: bool):
 
 
 def range_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """Which of so many equal ranges of hashes each is in."""
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """Which of so many equal ranges each is in, by bits 24 to 47: an anchor is the least of many hashes, so by their high bits most
+    anchors would be in the first ranges, and some hashes have no lower bits."""
+    return ((h >> np.uint64(24) & np.uint64((1 << 24) - 1)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
 def interval_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray, p_of: int) -> list[tuple]:

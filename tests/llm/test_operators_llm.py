@@ -182,6 +182,19 @@ def test_two_hashes_of_a_window():
     assert a[0] == b[0] and a[1] != b[1]
 
 
+def range_sizes(spark, docs, hashed, length, gram, parts, within):
+    """Bytes of the runs that each range gets."""
+    rows = spans.runs_of(texts(make(spark, docs)), hashed, length, gram, parts, within)
+    return [r[0] for r in rows.where(f"kind = {spans.RUNS}").groupBy("p").agg(F.sum(F.length("data"))).select("sum(length(data))").collect()]
+
+
+def test_byte_anchors_are_dealt_evenly(spark):
+    r = random.Random(8)
+    docs = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=4000))) for i in range(100)]
+    sizes = range_sizes(spark, docs, substrings.hashed_bytes, substrings.LENGTH, substrings.GRAM, 16, True)
+    assert len(sizes) == 16 and max(sizes) < 1.5 * sum(sizes) / 16
+
+
 def test_other_runs_give_the_same(docs):
     """Other tasks and longer anchors give the same bytes."""
     before = {r[0]: sorted(map(tuple, spans.merge_pairs(spans.pairs(r[1]), 10**9).tolist())) for r in substrings.repeated_bytes(docs).collect()}
