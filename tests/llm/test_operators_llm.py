@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table with odd rows."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -195,6 +196,23 @@ def test_byte_anchors_are_dealt_evenly(spark):
     assert len(sizes) == 16 and max(sizes) < 1.5 * sum(sizes) / 16
 
 
+def test_word_anchors_are_dealt_evenly(spark):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choices("abcdefghij", k=5)) for _ in range(2000)]
+    docs = [(i, " ".join(r.choices(vocabulary, k=800))) for i in range(100)]
+    sizes = range_sizes(spark, docs, fingerprints.hashed_words, fingerprints.LENGTH, fingerprints.GRAM, 16, False)
+    assert len(sizes) == 16 and max(sizes) < 1.5 * sum(sizes) / 16
+
+
+def test_index_of_other_ranges_is_refused(spark, tmp_path):
+    fingerprints.Index(spark, str(tmp_path))._save([])
+    assert fingerprints.Index(spark, str(tmp_path)).about["version"] == 1
+    old = {k: v for k, v in fingerprints.Index(spark, str(tmp_path)).about.items() if k != "layout"}
+    (tmp_path / "manifest-0000000002.json").write_text(json.dumps(old | {"version": 2}))
+    with pytest.raises(AssertionError, match="other ranges"):
+        fingerprints.Index(spark, str(tmp_path))
+
+
 def test_other_runs_give_the_same(docs):
     """Other tasks and longer anchors give the same bytes."""
     before = {r[0]: sorted(map(tuple, spans.merge_pairs(spans.pairs(r[1]), 10**9).tolist())) for r in substrings.repeated_bytes(docs).collect()}
