@@ -4,7 +4,8 @@ The index is a folder of runs and a numbered manifest that names those that coun
 one row with the fingerprints of documents, sorted. It is a bucketed Parquet table, so that a range of every run is read where the range
 of a new batch is: the batch is dealt by range, the runs are not dealt again. There, the batch is merge-joined with them: the runs' rows
 of the batch's buckets are picked by one pass over both sorted columns. A span of words that stands in a run is a repeat; where only its
-bucket does, the words themselves decide, window by window, before the batch is done (spans.py, stages 2 and 3). Then the batch's
+bucket does, the words themselves decide, window by window, before the batch is done (spans.py, stages 2 and 3). A bucket that a run
+dealt by span, as many texts have it, is marked in its range; a batch that meets the mark asks for its rows in all ranges. Then the batch's
 own fingerprints are the next run. Runs have levels: FANOUT of one level are merged into one of the next, so a batch is held against a
 number of runs that grows with the logarithm of the batches, and a fingerprint is rewritten as often.
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, read_documents, texts, width, word_list, words_hashed
-from .spans import INDEX, INTERVALS, NO_ID, REQUESTS, ROWS, _by_p, _emit, by_document, merge_pairs, pack_columns, removed, runs_of, settle_range, settle_windows, unpack_columns, with_rows
+from .spans import INDEX, INTERVALS, NO_ID, REQUESTS, ROWS, _by_p, _emit, by_document, flagged_requests, merge_pairs, pack_columns, removed, runs_of, settle_range, settle_windows, unpack_columns, with_rows
 from .tokens import write_file
 
 LENGTH = 50
@@ -139,7 +140,11 @@ class Index:
         name = self._write(out)
         self._save([*runs, {"folder": name, "level": 0}])
         found = self.table(name)
-        asked = with_rows(history, by_document(found, REQUESTS), "inner")
+        requests = found.where(F.col("kind") == REQUESTS)
+        for r in runs:
+            more = flagged_requests(self.table(r["folder"]), found)
+            requests = requests.unionByName(more.select(F.lit(0).alias("p"), F.lit(REQUESTS).alias("kind"), "doc_id", F.lit(0).alias("batch"), "data"))
+        asked = with_rows(history, by_document(requests, REQUESTS), "inner")
         rest = settle_windows(asked, hashed_words, a["length"], a["buckets"], False)
         self.compact()
         return found.where(F.col("kind") == INTERVALS).unionByName(rest.where(F.col("kind") == INTERVALS))

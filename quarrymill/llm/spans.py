@@ -35,9 +35,11 @@ NO_ID = np.iinfo(np.int64).max
 FLUSH = 500_000
 #: Symbols hashed at once: small enough for the processor's caches, below 2**21 for the packed positions.
 BLOCK = 1 << 16
+#: Over how many tasks the earlier rows of a probed bucket are dealt.
+SALTS = 16
 _POS = np.uint64((1 << 21) - 1)
 
-RUNS, INTERVALS, REQUESTS, INDEX = 0, 1, 2, 3
+RUNS, INTERVALS, REQUESTS, INDEX, PROBES = 0, 1, 2, 3, 4
 ROWS = "p int, kind int, doc_id long, batch int, data binary"
 _ROWS = pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("batch", pa.int32()), ("data", pa.binary())])
 
@@ -326,7 +328,8 @@ def _by_p(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]
 
 def settle_range(p: int, group: list[tuple], length: int, within: bool, index: bool) -> Iterator[pa.RecordBatch]:
     """What the rows of one bucket range give: intervals, requests and (index) the rows that a later batch is held against. Rows of
-    kind INDEX are earlier ones; they give requests only."""
+    kind INDEX are earlier ones; they give requests only. PROBES are buckets of new rows that were dealt by span before: their earlier
+    rows lie in any range (`flagged_requests`)."""
     yield from _emit_all([r for r in group if r[1] == INTERVALS])
     got = [(r[1], unpack_columns(r[4])) for r in group if r[1] != INTERVALS and r[4]]
     if not got:
@@ -356,11 +359,39 @@ def settle_range(p: int, group: list[tuple], length: int, within: bool, index: b
         rows_.append((p, REQUESTS, int(doc[asked[a]]), 0, np.stack([s, s + n[asked[a:z]]], axis=1).astype("<i8").tobytes()))
     yield from _emit_all(rows_)
     if index:
+        probes = np.intersect1d(bucket[marker & old], bucket[~old])
+        yield from _emit_all([(p, PROBES, None, 0, probes.astype("<u8").tobytes())] if len(probes) else [])
         keep = np.concatenate([stay[~old[stay]], np.flatnonzero(marker & ~old)])
         keep = keep[np.lexsort((start[keep], doc[keep], span[keep], bucket[keep]))]
         yield _emit([(p, INDEX, None, 0, pack_columns(bucket[keep], span[keep], doc[keep], start[keep], n[keep], flag[keep]) if len(keep) else b"")])
 
 
+def flagged_requests(earlier: DataFrame, found: DataFrame) -> DataFrame:
+    """Requests (doc_id, data) for the rows of earlier runs (INDEX) that were dealt by span and whose buckets are probed in found. Salted
+    by document, so that a hot bucket is no single task's."""
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("data").to_pylist():
+                bucket, _, doc, start, n, flag = unpack_columns(blob)
+                at = np.flatnonzero((flag > 0) & (n > 0))
+                for a in range(0, len(at), 100_000):
+                    k = at[a : a + 100_000]
+                    data = np.stack([start[k], start[k] + n[k]], axis=1).astype("<i8").tobytes()
+                    data = pa.array([data[i : i + 16] for i in range(0, len(data), 16)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[k].view(np.int64)), pa.array((doc[k] % SALTS).astype(np.int32)), pa.array(doc[k]), data], names=["bucket", "salt", "doc_id", "data"])
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("data").to_pylist():
+                x = np.frombuffer(blob, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, SALTS)), pa.array(np.tile(np.arange(SALTS, dtype=np.int32), len(x)))], names=["bucket", "salt"])
+
+    old = earlier.where((F.col("kind") == INDEX) & (F.length("data") > 0)).select("data").mapInArrow(flagged, "bucket long, salt int, doc_id long, data binary")
+    new = found.where(F.col("kind") == PROBES).select("data").mapInArrow(probed, "bucket long, salt int")
+    return old.join(new, ["bucket", "salt"], "left_semi").select("doc_id", "data")
+
+
 def settle_runs(rows: DataFrame, length: int, within: bool, index: bool = False) -> DataFrame:
     """Stage 2: each bucket range settled by itself."""
 

@@ -105,6 +105,23 @@ def test_words(docs, batches):
     assert rows(got, 3) == want
 
 
+def test_words_of_a_bucket_dealt_by_span(spark):
+    """Later batches copy passages around a text that an earlier batch's task met amid different texts; theirs meet it once each."""
+    r = random.Random(3)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    table, later = [], [[], []]
+    for _ in range(20):
+        common = some(44)
+        own = [some(60) + common + some(60) for _ in range(8)]
+        table += [" ".join(w) for w in own]
+        for q in (0, 1):
+            later[q].append(" ".join(some(50) + own[3 + q][54:110] + some(40)))
+    table = list(enumerate(table)) + [(1000 * (q + 1) + i, t) for q in (0, 1) for i, t in enumerate(later[q] + [" ".join(some(70)) for _ in range(140)])]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(1)
+    got = rows(ALL["words"](spark, docs), 2)
+    assert got == {d: (len(words(t)), 56 if d >= 1000 and d % 1000 < 20 else 0) for d, t in table}
+
+
 def test_index_over_sessions(spark, docs, tmp_path):
     """Three batches in two sessions give what one batch gives; old runs are not dealt again, and levels are merged."""
     d = texts(docs)
