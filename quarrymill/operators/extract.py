@@ -191,6 +191,11 @@ def relations_of(parsed_: DataFrame) -> DataFrame:
     return parsed_.select("doc", "chunk", F.posexplode("relations").alias("pos", "r")).select("doc", "chunk", "pos", F.col("r.type").alias("type"), F.col("r.from").alias("from"), F.col("r.to").alias("to"))
 
 
+def renames(entities: DataFrame, kept: DataFrame) -> DataFrame:
+    """id, to: once for each id (id, key) that another (key, to) stands for, however many rows it has, so joins add no rows."""
+    return entities.distinct().join(kept, "key").where("id <> to").select("id", "to")
+
+
 def reconcile(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities (pos, id, type, name, description, confidence) that share a name under several types become one: the most
     confident, with the longest description (first of equals); relations (pos, src, dst, type, ...) are pointed anew, without
@@ -203,7 +208,7 @@ def reconcile(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, Dat
         F.count("*").alias("members"),
     )
     merged = best.select("e.pos", "e.id", "e.type", "e.name", F.col("longest").alias("description"), "e.confidence")
-    renamed = entities.select("id", key.alias("key")).join(best.select("key", F.col("e.id").alias("to")), "key").where("id <> to").select("id", "to")
+    renamed = renames(entities.select("id", key.alias("key")), best.select("key", F.col("e.id").alias("to")))
     if renamed.isEmpty():
         return entities, relations
     r = relations.join(renamed.toDF("src", "s2"), "src", "left").join(renamed.toDF("dst", "d2"), "dst", "left")

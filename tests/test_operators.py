@@ -109,6 +109,17 @@ def test_reconcile(spark):
     assert same.count() == 2 and loops.count() == 1
 
 
+def test_renames_are_unique(spark):
+    """Entities of one id on many rows rename an edge once, not once for each row (and each end)."""
+    e = spark.range(4000).selectExpr("id AS pos", "concat(if(id % 2 = 0, 'a', 'b'), ':x') AS id", "'a' AS type", "'x' AS name", "'' AS description", "id / 4000 AS confidence")
+    r = spark.range(2000).selectExpr("id AS pos", "'a:x' AS src", "if(id % 2 = 0, 'a:x', 'c:y') AS dst", "'R' AS type")
+    ents, rels = extract.reconcile(e, r)
+    assert [x.id for x in ents.collect()] == ["b:x"]
+    assert [(x.pos, x.src, x.dst) for x in rels.collect()] == [(1, "b:x", "c:y")]
+    key = spark.createDataFrame([("a:x", "x")] * 3 + [("b:x", "x")], "id string, key string")
+    assert extract.renames(key, spark.createDataFrame([("x", "b:x")], "key string, to string")).count() == 1
+
+
 def test_prompt():
     p = extract.build_prompt("a CV", {"role": {"definition": "a post", "examples": ["CTO"], "not": "a firm"}}, {"AT": {"from": "role", "to": "org", "definition": ""}}, "text", "A > B")
     head, passage, rest = p.split("\n---\n")[0], *p.split("\n---\n")[1].rsplit("\n", 1)
