@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +172,28 @@ def test_ancestry(spark):
     assert got == {"Cert": [], "One": ["Cert"], "Two": ["Cert"], "ALL": [], "Last": ["ALL"]}
 
 
+def test_ancestry_by_brute_force():
+    """Each heading's ancestors by a look at every other heading, and many headings in one document in a time that isn't quadratic."""
+    r = random.Random(5)
+    for _ in range(300):
+        heads = [("d", i, r.choice(["ABC", "DEF", "1 Aa", "1.1 Bb", "2 Cc", "Name", "Other"]), r.choice([1, 2, 3, None]), r.choice([10.0, 20.0, 30.0, None]), r.random() < 0.8, r.random() < 0.3, r.random() < 0.1) for i in range(r.randrange(1, 14))]
+        depth = [layout._depth(h[2]) for h in heads]
+        ends = {i: next((k for k in range(i + 1, len(heads)) if heads[k][6] or heads[k][2].isupper() or (depth[i] and depth[k] and depth[k] <= depth[i])), len(heads)) for i, h in enumerate(heads) if h[6]}
+        for k, (_, pos, text, found) in enumerate(layout.ancestors_of(heads)):
+            want = [heads[c][2] for c, z in ends.items() if c < k < z and heads[c][2] != text]
+            _, _, _, page, y, boxed, _, _ = heads[k]
+            if not want and not text.isupper() and boxed and page is not None:
+                far = []
+                for c, (_, _, t, p, b, has, _, listed) in enumerate(heads):
+                    if c != k and has and b is not None and p is not None and t.isupper() and not listed and (p < page or (p == page and y is not None and b >= y)):
+                        far.append(((page - p) * 100000 + (b - y if p == page else 0), c, t))
+                want = [min(far)[2]] if far else []
+            assert (pos, found) == (k, want)
+    many = [("d", i, "ABC" if i % 2 else f"Name {i}", i // 50, float(i % 50), True, False, False) for i in range(100_000)]
+    begun = time.monotonic()
+    assert len(layout.ancestors_of(many)) == 100_000 and time.monotonic() - begun < 20
+
+
 def test_running_headers(spark):
     rows = [("d", p, "section_header", "Title", p, [0.0, 95.0, 9.0, 97.0], "body") for p in range(1, 7)] + [("d", 50, "section_header", "Title", 7, [0.0, 50.0, 9.0, 52.0], "body")]
     got = layout.drop_running_headers(layout_items(spark, rows))
