@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from .store import staged
 
 #: Vectors of a block; two blocks meet in a task, which multiplies STRIP rows of one by the other at a time.
 BLOCK, STRIP = 2048, 256
+#: Dot products that a search holds at once.
+CELLS = 2_000_000
 
 
 def similar_pairs(items: DataFrame, floor: float = 0.65, bands=X.BANDS, by: str | None = None) -> DataFrame:
@@ -19,43 +24,68 @@ def similar_pairs(items: DataFrame, floor: float = 0.65, bands=X.BANDS, by: str
     column, which comes first in the result.
 
     Items are dealt over blocks by a hash of their id, as many as their number calls for; each two blocks meet in one task. So work is
-    quadratic, as the exact result demands, but no row stands for a pair that isn't one, no task holds more than two blocks, and a
-    vector is sent once for each block there is.
+    quadratic, as the exact result demands, but no row stands for a pair that isn't one, and no task holds more than a few blocks. With
+    `by`, a vector is sent once for each block of its group.
     """
-    own = items.where("embedding IS NOT NULL AND size(embedding) > 0").select((F.col(by) if by else F.lit("")).alias("by"), "id", F.col("pos").cast("long").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"))
-    if by:
-        sizes = own.groupBy("by").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        own = own.join(sizes, "by")
-    else:
-        own = own.withColumn("blocks", F.lit(max(1, -(-own.count() // BLOCK))).cast("long"))
-    block = F.pmod(F.xxhash64("id", "pos"), F.col("blocks"))
-    meets = own.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    own = items.where("embedding IS NOT NULL AND size(embedding) > 0").select((F.col(by) if by else F.lit("")).alias("by"), "id", F.col("pos").cast("long").alias("pos"), "embedding")
+    if not by:
+        return _all_pairs(own, floor).drop("by")
+    own = own.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    sizes = own.groupBy("by").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    own = own.join(sizes, "by")
+    meets = own.withColumn("block", F.pmod(F.xxhash64("id", "pos"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tasks = meets.select("by", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "pos", "embedding")
 
     def meet(f: pd.DataFrame) -> pd.DataFrame:
         i, j, key = f["i"].iloc[0], f["j"].iloc[0], f["by"].iloc[0]
         f = f.sort_values(["pos", "id"], kind="stable")
         left, right = f[f["block"] == i], f[f["block"] == j]
-        wide = f["embedding"].str.len().max()
-        grid = lambda x: np.array([np.pad(np.asarray(v, float), (0, wide - len(v))) for v in x["embedding"]]).reshape(len(x), wide)
-        rows, columns = grid(left), grid(right)
-        pl, pr = left["pos"].to_numpy(), right["pos"].to_numpy()
-        il, ir = left["id"].to_numpy(), right["id"].to_numpy()
-        found = []
-        for at in range(0, len(rows), STRIP):
-            with np.errstate(invalid="ignore"):
-                dots = rows[at : at + STRIP] @ columns.T
-                a, b = np.nonzero(dots >= floor)
-            dot, a = dots[a, b], a + at
-            before = pl[a] < pr[b]
-            k = before if i == j else pl[a] != pr[b]
-            a, b, dot, before = a[k], b[k], dot[k], before[k]
-            found.append(pd.DataFrame({"by": key, "a": np.where(before, il[a], ir[b]), "b": np.where(before, ir[b], il[a]), "dot": dot}))
+        found = [pd.DataFrame({"by": key, **x}) for x in _met(*[[c[n].to_numpy() for n in ("pos", "id", "embedding")] for c in (left, right)], i == j, floor)]
         return pd.concat(found) if found else pd.DataFrame({"by": [], "a": [], "b": [], "dot": []})
 
-    kind, group = items.schema["id"].dataType.simpleString(), items.schema[by].dataType.simpleString() if by else "string"
-    pairs = tasks.groupBy("by", "i", "j").applyInPandas(meet, f"by {group}, a {kind}, b {kind}, dot double")
-    return pairs.withColumnRenamed("by", by) if by else pairs.drop("by")
+    kind, group = items.schema["id"].dataType.simpleString(), items.schema[by].dataType.simpleString()
+    return tasks.groupBy("by", "i", "j").applyInPandas(meet, f"by {group}, a {kind}, b {kind}, dot double").withColumnRenamed("by", by)
+
+
+def _met(left: list, right: list, same: bool, floor: float) -> Iterator[dict]:
+    """Pairs of two blocks (pos, id, embedding), STRIP rows of the left one at a time."""
+    (pl, il, vl), (pr, ir, vr) = left, right
+    wide = max(map(len, [*vl, *vr]), default=0)
+    grid = lambda x: np.array([np.pad(np.asarray(v, float), (0, wide - len(v))) for v in x]).reshape(len(x), wide)
+    rows, columns = grid(vl), grid(vr)
+    for at in range(0, len(rows), STRIP):
+        with np.errstate(invalid="ignore"):
+            dots = rows[at : at + STRIP] @ columns.T
+            a, b = np.nonzero(dots >= floor)
+        dot, a = dots[a, b], a + at
+        before = pl[a] < pr[b]
+        k = before if same else pl[a] != pr[b]
+        a, b, dot, before = a[k], b[k], dot[k], before[k]
+        yield {"a": np.where(before, il[a], ir[b]), "b": np.where(before, ir[b], il[a]), "dot": dot}
+
+
+def _all_pairs(own: DataFrame, floor: float) -> DataFrame:
+    """`similar_pairs` without `by`: blocks are staged, one row each, and the product of that table with itself is read from its files, so
+    what is shuffled and written for it grows with the vectors, and only what is read with their square."""
+    blocks = max(1, -(-own.count() // BLOCK))
+    block = F.pmod(F.xxhash64("id", "pos"), F.lit(blocks)).cast("long")
+    packed = own.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("pos", "id", "embedding"))).alias("v"))
+    packed = staged(packed.select("block", F.col("v.pos").alias("pos"), F.col("v.id").alias("id"), F.col("v.embedding").alias("embedding")).repartition(blocks), "blocks")
+    one = lambda n: packed.select(*[F.col(c).alias(f"{c}{n}") for c in packed.columns])
+    kind = own.schema["id"].dataType.simpleString()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(b.num_rows):
+                of = lambda c: b.column(b.schema.get_field_index(c))[n].values  # noqa: B023, E731
+                i, j = b.column(0)[n].as_py(), b.column(b.schema.get_field_index("block1"))[n].as_py()
+                sides = [[of(f"pos{s}").to_numpy(), of(f"id{s}").to_numpy(zero_copy_only=False), of(f"embedding{s}").to_numpy(zero_copy_only=False)] for s in (0, 1)]
+                ids = of("id0").type
+                for x in _met(*sides, i == j, floor):
+                    yield pa.RecordBatch.from_arrays([pa.array(x["a"], ids), pa.array(x["b"], ids), pa.array(x["dot"], pa.float64())], names=["a", "b", "dot"])
+
+    met = one(0).crossJoin(one(1)).where("block0 <= block1").mapInArrow(meet, f"a {kind}, b {kind}, dot double")
+    return met.withColumn("by", F.lit(""))
 
 
 def similar_to(items: DataFrame, threshold: float = 0.75, bands=X.BANDS, compat: bool = False, by: str | None = None) -> DataFrame:
@@ -229,6 +259,20 @@ def community_graph(communities: DataFrame, entities: DataFrame, summaries: Data
     return ents, rels
 
 
+def greatest(best: tuple | None, ids: np.ndarray, dots: np.ndarray, k: int) -> tuple:
+    """query (its place), id, dot: the k greatest for each query of those before (best) and of a strip (dots: a row for each id, a column
+    for each query), the smallest ids among equals; NaN is greatest, as Spark orders it."""
+    key = np.where(np.isnan(dots), np.inf, dots)
+    least = np.partition(key, len(key) - k, axis=0)[len(key) - k] if len(key) > k else np.full(dots.shape[1], -np.inf)
+    row, q = np.nonzero(key >= least)
+    own = (q, ids[row], dots[row, q])
+    q, i, d = own if best is None else (np.concatenate([x, y]) for x, y in zip(best, own, strict=True))
+    o = np.lexsort((pd.factorize(i, sort=True)[0], -np.where(np.isnan(d), np.inf, d), ~np.isnan(d), q))
+    q, i, d = q[o], i[o], d[o]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < k], i[rank < k], d[rank < k]
+
+
 def nearest(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query, id, rank, dot: the k items of greatest dot product with each query (a stated, counted set, broadcast in blocks)."""
     from pyspark.sql import Window as W
@@ -246,13 +290,15 @@ def nearest(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
         def look(frames, shared=shared):
             names, grid = shared.value
+            best = None
             for f in frames:
-                if not len(f) or not len(names):
-                    continue
-                dots = np.array(f["embedding"].tolist(), float) @ grid.T
-                top = np.argsort(-dots, axis=0, kind="stable")[:k]
-                cols = np.broadcast_to(np.arange(len(names)), top.shape)
-                yield pd.DataFrame({"query": names[cols.ravel()], "id": f["id"].to_numpy()[top.ravel()], "dot": dots[top, cols].ravel()})
+                for at in range(0, len(f) if len(names) else 0, max(1, CELLS // len(names))):
+                    part = f.iloc[at : at + max(1, CELLS // len(names))]
+                    best = greatest(best, part["id"].to_numpy(), np.array(part["embedding"].tolist(), float) @ grid.T, k)
+            if best is not None:
+                for at in range(0, len(best[0]), 100_000):
+                    q, ids, dots = (x[at : at + 100_000] for x in best)
+                    yield pd.DataFrame({"query": names[q], "id": ids, "dot": dots})
 
         one = items.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(look, f"query {kind}, id {ikind}, dot double")
         found = one if found is None else found.unionByName(one)

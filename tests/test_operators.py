@@ -2,6 +2,7 @@ import json
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,38 @@ def test_similarity(spark):
     assert graph.similar_to(d, 0.85).count() == 0
 
 
+def test_pairs_of_many_blocks_shuffle_no_copies(spark, monkeypatch):
+    """Blocks meet in a product of files: each vector is dealt once, however many blocks there are; the pairs are brute force's."""
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    r = random.Random(2)
+    v = [[r.uniform(-1, 1) for _ in range(3)] for _ in range(60)]
+    items = spark.createDataFrame([(f"n{i}", i // 2, x) for i, x in enumerate(v)] + [("none", 99, None)], "id string, pos long, embedding array<double>")
+    pairs = graph.similar_pairs(items, 0.5)
+    want = {(f"n{i}", f"n{j}") for i in range(60) for j in range(60) if i // 2 < j // 2 and sum(a * b for a, b in zip(v[i], v[j], strict=True)) >= 0.5}
+    assert {(x.a, x.b) for x in pairs.collect()} == want and pairs.count() == len(want)
+    assert "Exchange hash" not in pairs._jdf.queryExecution().executedPlan().toString()
+    grouped = graph.similar_pairs(items.withColumn("g", F.lit("x")), 0.5, by="g")
+    assert {(x.a, x.b) for x in grouped.collect()} == want
+
+
+def test_nearest_holds_few_products(spark, monkeypatch):
+    """Strips of a few rows give what all rows at once give; of equals the smallest ids are taken, in whatever order they come."""
+    seen, real = [], graph.greatest
+    monkeypatch.setattr(graph, "CELLS", 12)
+    ids = np.array([5, 3, 9, 1, 7, 2])
+    dots = np.array([[1.0, 0.5], [1.0, 2.0], [1.0, np.nan], [1.0, 0.1], [0.0, 2.0], [3.0, 2.0]])
+    best = None
+    for at in range(0, 6, 2):
+        best = real(best, ids[at : at + 2], dots[at : at + 2], 3)
+        seen.append(len(best[0]))
+    assert seen == [4, 6, 6]
+    assert [int(x) for x in best[1]] == [2, 1, 3, 9, 2, 3]
+    v = spark.createDataFrame([(i, [float(i % 4), 1.0]) for i in range(40)], "id long, embedding array<double>")
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "query long, embedding array<double>")
+    got = {(x.query, x["rank"]): x.id for x in graph.nearest(v, q, 5).collect()}
+    assert [got[0, r] for r in range(1, 6)] == [3, 7, 11, 15, 19] and [got[1, r] for r in range(1, 6)] == [0, 4, 8, 12, 16]
+
+
 def test_louvain(spark):
     ring = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i in range(5) for j in range(i)] + [("a0", "b0", 0.1), ("c0", "c1", 1.0)]
     e = spark.createDataFrame(ring, "src string, dst string, weight double")
