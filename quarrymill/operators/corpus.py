@@ -163,7 +163,8 @@ class Corpus:
             version = f"data/{t}-{uuid.uuid4().hex[:12]}"
             kinds = T.StructType.fromDDL(SCHEMAS[t])
             rows = d.select(*[F.col(f.name).cast(f.dataType) for f in kinds], self._part(manifest, KEYS[t]).alias("part"))
-            rows.repartition(max(1, len(parts)), "part").write.partitionBy("part").parquet(f"{self.path}/{version}")
+            # a part may be large: its rows are dealt over as many tasks as their size calls for
+            rows.hint("rebalance", "part").write.partitionBy("part").parquet(f"{self.path}/{version}")
             there = {int(x.removeprefix("part=")) for x in list_folders(self.spark, f"{self.path}/{version}") if x.startswith("part=")}
             for k in parts:
                 tables[t].pop(str(k), None)
