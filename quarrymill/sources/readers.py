@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..functions import text as X
 from ..operators.chunking import plain_chunks
 
 BLOCKS = "doc string, pos int, label string, level int, text string"
+#: Pages whose blocks a task holds at once.
+PAGES = 200
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -98,23 +101,32 @@ class _Blocks(HTMLParser):
             self.cells[-1][-1] += data
 
 
-def html_items(html: str) -> list[tuple[str, int, str]]:
+#: An ampersand that begins no reference with a semicolon.
+_OPEN = re.compile(r"&(?!(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);)")
+
+
+def html_items(html: str, bare: bool = True) -> list[tuple[str, int, str]]:
+    """bare: references without their semicolon (`&amp` at a text's end) count, as in HTML; else they stay as they are."""
     p = _Blocks()
-    p.feed(html or "")
+    p.feed((html or "") if bare else _OPEN.sub("&amp;", html or ""))
     p.close()
     p.close_block()
     return p.out
 
 
-def html_blocks(pages: DataFrame, doc: str = "url", html: str = "html") -> DataFrame:
-    """doc, pos, label, level, text: the blocks of each page in reading order."""
+def html_blocks(pages: DataFrame, doc: str = "url", html: str = "html", bare: bool = True) -> DataFrame:
+    """doc, pos, label, level, text: the blocks of each page in reading order. bare: see `html_items`."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, i, *b) for d, h in zip(f["doc"], f["html"], strict=True) for i, b in enumerate(html_items(h))]
-            yield pd.DataFrame(rows, columns=["doc", "pos", "label", "level", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PAGES):
+                part = b.slice(at, PAGES)
+                rows = [(d, i, *x) for d, h in zip(part.column("doc").to_pylist(), part.column("html").to_pylist(), strict=True) for i, x in enumerate(html_items(h, bare))]
+                columns = zip(*rows, strict=True) if rows else [[]] * 5
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "pos", "label", "level", "text"])
 
-    return pages.select(F.col(doc).cast("string").alias("doc"), F.col(html).alias("html")).mapInPandas(run, BLOCKS)
+    return pages.select(F.col(doc).cast("string").alias("doc"), F.col(html).alias("html")).mapInArrow(run, BLOCKS)
 
 
 def section_paths(blocks: DataFrame) -> DataFrame:

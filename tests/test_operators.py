@@ -55,6 +55,20 @@ def test_html(spark):
     ]
 
 
+def test_pages_that_share_a_url(spark, tmp_path):
+    """Titles keep a reference without its semicolon, as their SQL does; pages of one URL stay apart."""
+    from quarrymill.plans import queries
+
+    page = "<body><h1>A{} &amp; b &amp</h1><p>x{}</p></body>"
+    spark.createDataFrame([(i, "u" if i < 3 else "v", page.format(i % 2, i)) for i in range(4)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = lambda n: sorted(tuple(r) for r in queries.QUERIES[n](spark, str(tmp_path)).collect())
+    names = [("u", "A0 & b &amp"), ("u", "A0 & b &amp"), ("u", "A1 & b &amp"), ("v", "A1 & b &amp")]
+    assert got("page_titles") == names
+    assert got("structural_entities") == [(d, f"topic:{t.lower()}", t) for d, t in names]
+    assert [x[0:4] for x in got("structural_chunks") if x[3][0] == "x"] == [("u", 1, "A0 & b &", "x0"), ("u", 1, "A0 & b &", "x2"), ("u", 1, "A1 & b &", "x1"), ("v", 1, "A1 & b &", "x3")]
+    assert [x[4] for x in got("html_blocks") if x[3] == 1][0] == "A0 & b &"
+
+
 def test_strategies():
     with pytest.raises(NotImplementedError):
         readers.get_chunker("markdown_render")
@@ -318,6 +332,21 @@ def test_corpus(spark, tmp_path):
     assert all(d.count() == 0 for d in store.tables().values())
 
 
+def test_a_large_part_is_written_by_many_tasks(spark, tmp_path):
+    """No task takes a whole part, however few parts a corpus has."""
+    store = corpus.Corpus(spark, str(tmp_path / "c"), buckets=1)
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("doc"), F.lit(0).alias("index"), F.sha2(F.col("id").cast("string"), 512).alias("text"), F.lit("(root)").alias("section_path"))
+    none = spark.createDataFrame([], "doc string, id string, type string, name string, description string, confidence double"), spark.createDataFrame([], "doc string, src string, dst string, type string")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "40000")
+    try:
+        store.commit(rows.select("doc"), rows.repartition(8), *none, "p")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    chunks = store.tables()["chunks"]
+    assert chunks.count() == 4000 and len(chunks.inputFiles()) > 3
+
+
 def test_providers(spark):
     names = extract.dictionary_extractor({"org": ["ACME"]})
     assert json.loads(names(["x\n---\nACME Ltd\n---"])[0])["entities"][0]["name"] == "ACME"
