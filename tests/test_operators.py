@@ -1,6 +1,7 @@
 import json
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -198,6 +199,19 @@ def test_louvain(spark):
     assert graph.modularity(e, c) > 0.4
 
 
+def test_louvain_holds_columns():
+    """A giant component costs its task some bytes an edge, not some objects."""
+    r = np.random.default_rng(4)
+    n, many = 2000, 100_000
+    i = r.integers(0, n // 2, many) * 2 + r.integers(0, 2, 1)
+    j = np.where(r.random(many) < 0.95, (i + 2 * r.integers(1, n // 2, many)) % n, (i + 1) % n)
+    tracemalloc.start()
+    own = graph.louvain_places(n, i, j, np.ones(many), passes=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(own) == n and peak < 150 * many, peak / many
+
+
 def test_pagerank_sums_to_one(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d")], "src string, dst string")
     got = graph.pagerank(e, rounds=6)
